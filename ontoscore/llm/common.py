@@ -92,6 +92,14 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+FLAT = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def flat_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of a DDL string of plain types; needs no session, so workers can call it."""
+    return pa.schema([(name, FLAT[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
+
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -13,10 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ontoscore.llm.common import record
-from ontoscore.llm.windows import Unit, candidates, keyed, resolved
+from ontoscore.llm.windows import Unit, candidates, keyed, resolved, spans_of
 
 LENGTH = 400
 GRAM = 64
@@ -125,11 +124,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return repeats([r["seg"] for r in group], [r["n"] for r in group], length)
 
     found = resolved(segments, work, BATCH)
-    places = segments.where("kind = 0").select("g", "fp", "k1", "k2", "s0", "n")
-    whole = F.array(F.struct(F.col("s0").alias("s"), F.col("n")))
-    part = F.transform("spans", lambda x: F.struct((x["s"] + F.col("s0")).cast("int").alias("s"), x["n"].alias("n")))
-    windows = places.join(found, ["g", "fp"]).select("k1", "k2", F.when(F.col("copies") > 1, whole).otherwise(part).alias("spans"))
-    windows = windows.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+    windows = spans_of(segments, found, lambda _, piece: piece["copies"] > 1)
     joined = docs.join(windows, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "spans")
     out = joined.mapInArrow(_remove(length, with_text), KEPT)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_text)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ontoscore.llm.common import gram_hash, materialise, record, sliding_min, text_buffer, with_row_key, words
@@ -25,11 +25,12 @@ PART = 1 << 20
 #: Windows of a run in one row.
 MOST = 8192
 PIECE = 8
-#: An anchor with more runs than this is hot.
-HOT = 1000
+#: An anchor with more runs than this is hot; the segments of so many make a few MB.
+HOT = 4000
 
 RUNS = "k1 long, k2 long, id long, h long, s0 int, n int, a int, c int"
-SEGMENTS = "kind int, g long, fp long, k1 long, k2 long, id long, s0 int, n int, copies long, seg binary"
+#: kind 0: places of a run (h, run) in documents; 1: pieces (g, fp), of which a run that isn't hot is one; 2: pieces of a hot run.
+SEGMENTS = "kind int, h long, run long, g long, fp long, k1 long, k2 long, id long, s0 int, n int, copies long, seg binary"
 
 
 class Unit:
@@ -113,7 +114,7 @@ def fingerprint(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
-def _cut(unit: Unit, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -139,14 +140,16 @@ def _cut(unit: Unit, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple[int, int], list] = {}
-        links: list[tuple] = []
+        known: dict[tuple[int, int], list] = {}
+        rows: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal made, links, held
-            rows = [(1, g, fp, 0, 0, v[1], 0, v[2], v[0], v[3]) for (g, fp), v in made.items()] + links
-            made, links, held = {}, [], 0
-            return record(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
+            nonlocal made, known, rows, held
+            rows += [(1, 0, 0, g, fp, 0, 0, v[1], 0, v[2], v[0], v[3]) for (g, fp), v in made.items()]
+            out = record(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
+            made, known, rows, held = {}, {}, [], 0
+            return out
 
         for batch in batches:
             texts, all_runs = batch.column("text"), batch.column("runs")
@@ -166,25 +169,35 @@ def _cut(unit: Unit, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     return text[i:j] if at is None else text[at[i] : at[j] - 1]
 
                 for r in all_runs[x].as_py():
-                    for core, s, n in pieces(r):
-                        seg = units(s, s + n + W - 1)
-                        if core is None:
-                            g = r["h"]
-                        else:
-                            width = W if r["a"] < 0 else W - PIECE + 1
-                            g = fingerprint(units(core, core + width))
-                        fp = fingerprint(seg)
-                        if (old := made.get((g, fp))) is None:
-                            made[g, fp] = [1, ids[x], n, seg]
-                            held += len(seg) + 200
-                        else:
-                            old[0] += 1
-                            old[1] = min(old[1], ids[x])
-                        links.append((0, g, fp, k1[x], k2[x], ids[x], s, n, 1, None))
+                    s0, h = r["s0"], r["h"]
+                    whole = [(s, min(MOST, s0 + r["n"] - s)) for s in range(s0, s0 + r["n"], MOST)]
+                    for first, n in whole:
+                        name = (h, fingerprint(units(first, first + n + W - 1)))
+                        parts = known.get(name)
+                        if parts is None:
+                            parts = known[name] = []
+                            for core, s, m in pieces(r | {"s0": first, "n": n}):
+                                seg = units(s, s + m + W - 1)
+                                if core is None:
+                                    key = name
+                                else:
+                                    width = W if r["a"] < 0 else W - PIECE + 1
+                                    key = (fingerprint(units(core, core + width)), fingerprint(seg))
+                                    rows.append((2, *name, *key, 0, 0, 0, s - first, m, 0, None))
+                                    held += 150
+                                if key not in made:
+                                    made[key] = [0, ids[x], m, seg]
+                                    held += len(seg) + 200
+                                parts.append(key)
+                        for key in parts:
+                            piece = made[key]
+                            piece[0] += 1
+                            piece[1] = min(piece[1], ids[x])
+                        rows.append((0, *name, 0, 0, k1[x], k2[x], ids[x], first, n, 1, None))
                         held += 150
-                        if held > 24 << 20:
-                            yield flush()
-        if links:
+                    if held > 24 << 20:
+                        yield flush()
+        if rows:
             yield flush()
 
     return run
@@ -193,15 +206,15 @@ def _cut(unit: Unit, keep_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def candidates(docs: DataFrame, unit: Unit, by_document: bool) -> tuple[DataFrame, DataFrame]:
     """docs: k1, k2, id (long, never null), text. Returns (docs with keys, segments).
 
-    by_document: a repeat counts only between different ids; else within a text too. Segments of kind 1 hold text (copies: rows that
-    have it, id: their least id; made once in each task), those of kind 0 say where the text lies (k1, k2, s0: first window, n windows).
+    by_document: a repeat counts only between different ids; else within a text too. Segments of kind 1 hold text (copies: how often
+    it occurs, id: the least id that has it; made once in each batch), those of kind 0 say where runs lie (k1, k2, s0: first window, n windows).
     """
     runs = materialise(docs.mapInArrow(_find(unit), RUNS), "runs")
     again = F.min("id") < F.max("id") if by_document else F.sum("c") >= 2
     known = runs.groupBy("h").agg(again.alias("again"), F.count("*").alias("runs_n")).where("again").select("h", (F.col("runs_n") > HOT).alias("hot"))
     wanted = runs.join(known, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "s0", "n", "a", "hot")).alias("runs"))
     cut = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "id", "text", "runs")
-    return docs, materialise(cut.mapInArrow(_cut(unit, by_document), SEGMENTS), "segments")
+    return docs, materialise(cut.mapInArrow(_cut(unit), SEGMENTS), "segments")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -250,3 +263,20 @@ def resolved(segments: DataFrame, work: Callable[[list[dict]], list[list[tuple[i
 
     text = segments.where("kind = 1").select("g", "fp", "n", "copies", "id", "seg")
     return text.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, RESULTS)
+
+
+def spans_of(segments: DataFrame, found: DataFrame, whole: Callable[[Column, Column], Column]) -> DataFrame:
+    """k1, k2, spans: the repeated windows of each document. whole(id, piece): whether all of a piece (copies, first_id) is repeated in a document."""
+    piece = lambda off, n: F.array(F.struct(off.alias("off"), n.alias("n"), "spans", "copies", "first_id"))
+    cut = segments.where("kind = 2").select("h", "run", "g", "fp", "s0", "n").distinct().join(found, ["g", "fp"])
+    hot = cut.groupBy("h", "run").agg(F.flatten(F.collect_list(piece(F.col("s0"), F.col("n")))).alias("pieces"))
+    plain = found.select(F.col("g").alias("h"), F.col("fp").alias("run"), piece(F.lit(0), F.lit(-1)).alias("pieces"))
+    places = segments.where("kind = 0").select("h", "run", "k1", "k2", "id", "s0", "n")
+
+    def placed(x: Column) -> Column:
+        at = F.col("s0") + x["off"]
+        every = F.array(F.struct(at.cast("int").alias("s"), F.when(x["n"] < 0, F.col("n")).otherwise(x["n"]).cast("int").alias("n")))
+        return F.when(whole(F.col("id"), x), every).otherwise(F.transform(x["spans"], lambda y: F.struct((at + y["s"]).cast("int").alias("s"), y["n"].cast("int").alias("n"))))
+
+    joined = places.join(plain.unionByName(hot), ["h", "run"]).select("k1", "k2", F.flatten(F.transform("pieces", placed)).alias("spans")).where(F.size("spans") > 0)
+    return joined.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
