@@ -152,15 +152,21 @@ def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * powers(len(values))[1][: len(values) - k + 1])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: White space and ASCII punctuation.
+PLAIN = SPACE.copy()
+PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool, between: np.ndarray = SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """Words [^\\x20\\x09-\\x0D]+ of the rows in a buffer: starts, ends, 64-bit hashes, and the first word of each row (len + 1).
 
-    fold: hash A-Z as a-z. Words never cross rows. Long rows are hashed in parts, so memory follows the words.
+    fold: hash A-Z as a-z. between: the bytes that part words. heads: also, for each length, hashes of the words' first bytes (0 for
+    words that are no longer). Words never cross rows. Long rows are hashed in parts, so memory follows the words.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~SPACE[data]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.uint64) for _ in heads]
+    solid = ~between[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -169,13 +175,17 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray
     last[edge - 1] = solid[edge - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     hashes, table, i = np.empty(len(starts), np.uint64), FOLDED if fold else BYTE, 0
+    begun = [np.zeros(len(starts), np.uint64) for _ in heads]
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
         sums, down = prefix_hash(table[data[lo:hi]]), powers(hi - lo)[1]
         hashes[i:j] = mix((sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * down[starts[i:j] - lo] + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        for out, size in zip(begun, heads, strict=True):
+            long = np.flatnonzero(ends[i:j] - starts[i:j] > size) + i
+            out[long] = mix((sums[starts[long] - lo + size] - sums[starts[long] - lo]) * down[starts[long] - lo] + np.uint64(size << 32))
         i = j
-    return starts, ends, hashes, np.searchsorted(starts, offsets)
+    return starts, ends, hashes, np.searchsorted(starts, offsets), *begun
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

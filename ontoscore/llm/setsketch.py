@@ -215,11 +215,11 @@ def _items(width: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: doc_id, k1, k2 (a key of id and text), n_shingles, component_id, kept, n_links (of its node).
+    """One row per row of docs: doc_id, k1, k2 (a key of id and text), n_shingles, component_id, kept, n_links (of its node), component.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Documents whose sets of distinct `width`-word shingles have a Jaccard
     similarity of percent/100 or more are linked; n_links counts the links that were needed to connect a node. component_id is the
-    least id reachable. A text with fewer words is one shingle; one without words (or null) is linked with nothing. A null id does
+    least id reachable, component a name of the group (null: no words). A text with fewer words is one shingle; one without words (or null) is linked with nothing. A null id does
     not count for component_id: a component of null ids has a null one, and its rows are kept. Repeated rows are in one component and
     kept together. An empty table gives an empty result; other columns are ignored.
     """
@@ -249,7 +249,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = least.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = own.groupBy("component").agg(F.min("least").alias("component_id"))
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    nodes = own.join(whole, "component").join(degree, "node", "left").select(F.col("node").alias("of"), "component_id", "n_links")
+    nodes = own.join(whole, "component").join(degree, "node", "left").select(F.col("node").alias("of"), "component_id", "component", "n_links")
     out = sketches.join(nodes, sketches["node"] == nodes["of"], "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, but one row for each group of near-duplicates: that of the least id. Rows without words stay, repeated ones once."""
+    found = near_duplicates(docs, id_col, text_col, width, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    best = found.where("component is not null").groupBy("component").agg(first).select("first.k1", "first.k2")
+    keys = best.union(found.where("component is null").select("k1", "k2").distinct())
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return with_row_key(plain, "doc_id", "text").join(keys, ["k1", "k2"]).select("k1", "k2", "row").dropDuplicates(["k1", "k2"]).select("row.*")

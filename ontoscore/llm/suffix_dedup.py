@@ -13,8 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ontoscore.llm.common import record
 from ontoscore.llm.windows import Unit, candidates, keyed, resolved, spans_of
 
 LENGTH = 400
@@ -110,35 +111,36 @@ def repeats(segments: list[bytes], starts: list[int], length: int) -> list[list[
 KEPT = "k1 long, k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,length:int>>, kept string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, and kept if with_text.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, with_rest: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept if with_text, rest (other columns) if with_rest.
 
     A null text is empty; a null id is a document of its own; repeated rows are copies of each other, so what they hold of `length`
     bytes or more goes from all of them. Strings are judged on the input. kept is the remaining text, without characters of which
-    a part went. Other columns of docs are ignored, whatever their names. An empty table gives an empty result.
+    a part went. Other columns of docs don't matter, whatever their names. An empty table gives an empty result.
     """
     unit = Unit("byte", length, min(GRAM, length))
-    docs, segments = candidates(keyed(docs, id_col, text_col), unit, by_document=False)
+    docs, segments = candidates(keyed(docs, id_col, text_col, with_rest), unit, by_document=False)
 
     def work(group: list[dict]) -> list[list[tuple[int, int]]]:
         return repeats([r["seg"] for r in group], [r["n"] for r in group], length)
 
     found = resolved(segments, work, BATCH)
     windows = spans_of(segments, found, lambda _, piece: piece["copies"] > 1)
-    joined = docs.join(windows, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "spans")
-    out = joined.mapInArrow(_remove(length, with_text), KEPT)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_text)
+    more = ["rest"] * with_rest
+    joined = docs.join(windows, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "spans", *more)
+    schema = StructType.fromDDL(KEPT)
+    if with_rest:
+        schema = schema.add(docs.schema["rest"])
+    out = joined.mapInArrow(_remove(length, with_text, to_arrow_schema(schema)), schema)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * with_text, *more)
 
 
-def _remove(length: int, with_text: bool):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(KEPT))
+def _remove(length: int, with_text: bool, schema: pa.Schema):
+    made = [f.name for f in schema if f.name not in ("k1", "k2", "doc_id", "rest")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {f.name: [] for f in schema}
+            rows: dict[str, list] = {name: [] for name in made}
             texts, spans = batch.column("text"), batch.column("spans")
             for i in range(batch.num_rows):
                 text = (texts[i].as_py() or "").encode()
@@ -159,8 +161,7 @@ def _remove(length: int, with_text: bool):
                 rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 rows["spans"].append([{"start": s, "length": e - s} for s, e in cuts])
                 rows["kept"].append(kept.decode(errors="ignore") if with_text else None)
-            for c in ("k1", "k2", "doc_id"):
-                rows[c] = batch.column(c).to_pylist()
-            yield record(schema, **rows)
+            columns = [pa.array(rows[f.name], f.type) if f.name in rows else batch.column(f.name) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return run

@@ -15,22 +15,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoscore.llm.common import chunks, record, text_buffer, words
+from ontoscore.llm.common import PLAIN, chunks, record, text_buffer, words
 
-BITS = 18
+BITS = 20
+#: Lengths of the word beginnings that are features too, in bytes; inflected words share them.
+HEADS = (5, 6)
 #: Labelled texts of each class that the fit sees at most.
 SAMPLE = 3000
-#: Labelled texts of the sample that a word must be in.
+#: Labelled texts of the sample that a word must be in, and how many standard errors its share must differ between the classes by.
 SUPPORT = 5
+EVIDENCE = 4.5
 #: A text is toxic from this chance of a grade above 0.
 THRESHOLD = 0.5
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (row, hashed word) of a buffer and how often each occurs; A-Z counts as a-z, other bytes as they are."""
-    _, _, h, first = words(data, offsets, fold=True)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    keys, times = np.unique((row.astype(np.uint64) << np.uint64(bits)) | (h >> np.uint64(64 - bits)), return_counts=True)
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (row, feature) of a buffer and how often each occurs. Features are hashed words and their first HEADS bytes.
+
+    A-Z counts as a-z; white space and ASCII punctuation part words. known: only features with a true entry.
+    """
+    _, _, h, first, *heads = words(data, offsets, fold=True, between=PLAIN, heads=HEADS)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first)).astype(np.uint64) << np.uint64(bits)
+    keys = []
+    for x in (h, *heads):
+        place = x >> np.uint64(64 - bits)
+        keep = x != 0 if known is None else (x != 0) & known[place]
+        keys.append(row[keep] | place[keep])
+    keys, times = np.unique(np.concatenate(keys), return_counts=True)
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64), times
 
 
@@ -49,7 +60,7 @@ class Model:
         return np.bincount(rows, self.weights[words_], n)
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, width: int, penalty: float = 1e-4, rounds: int = 200, rate: float = 0.1) -> Model:
+def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, width: int, penalty: float = 3e-6, rounds: int = 300, rate: float = 0.1) -> Model:
     """Maximum likelihood with an L2 penalty, by full-batch Adam. rows, cols: the ones of the feature matrix."""
     n = len(grades)
     present = np.unique(grades)
@@ -57,7 +68,11 @@ def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, wid
         only = int(present[0]) if len(present) else 0
         return Model(np.zeros(width), np.where(np.arange(levels - 1) < only, -30.0, 30.0))
     support = np.bincount(cols, minlength=width)
-    used = np.flatnonzero(support >= SUPPORT)
+    above = np.bincount(cols[grades[rows] > present[0]], minlength=width)
+    n1 = max(1, int((grades > present[0]).sum()))
+    share = support / n
+    error = np.sqrt(np.maximum(share * (1 - share) * (1 / n1 + 1 / max(1, n - n1)), 1e-12))
+    used = np.flatnonzero((support >= SUPPORT) & (np.abs(above / n1 - (support - above) / max(1, n - n1)) >= EVIDENCE * error))
     place = np.full(width, -1)
     place[used] = np.arange(len(used))
     keep = place[cols] >= 0
@@ -69,7 +84,6 @@ def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, wid
     steps[:] = np.log(np.maximum(np.diff(start), 1e-2))
     params = [w, base, steps]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    weight = (n / (len(present) * np.bincount(grades, minlength=levels).clip(1)))[grades]
     for t in range(1, rounds + 1):
         cuts = np.concatenate([base, base + np.cumsum(np.exp(steps))])
         s = np.bincount(rows, w[cols], n)
@@ -78,12 +92,12 @@ def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, wid
         a, b = 1 / (1 + np.exp(np.clip(s - high, -60, 60))), 1 / (1 + np.exp(np.clip(s - low, -60, 60)))  # P(<= grade), P(< grade)
         da, db = a * (1 - a), b * (1 - b)
         p = np.maximum(a - b, 1e-9)
-        ds = weight * (da - db) / p / n  # of the negative log likelihood by s
+        ds = (da - db) / p / n  # of the negative log likelihood by s
         gw = np.bincount(cols, ds[rows], len(w)) + penalty * w
         gc = np.zeros(levels - 1)
         up, down = grades < levels - 1, grades > 0
-        np.add.at(gc, grades[up], -(weight * da / p / n)[up])
-        np.add.at(gc, grades[down] - 1, (weight * db / p / n)[down])
+        np.add.at(gc, grades[up], -(da / p / n)[up])
+        np.add.at(gc, grades[down] - 1, (db / p / n)[down])
         tail = np.cumsum(gc[::-1])[::-1]
         gs = tail[1:] * np.exp(steps)
         for i, g in enumerate((gw, tail[:1], gs)):
@@ -144,7 +158,7 @@ def _score(model, bits: int, threshold: float, act):
             data, offsets = text_buffer(batch.column("text"))
             chance = np.zeros((batch.num_rows, len(model.value.thresholds)))
             for i, j in chunks(offsets):
-                row, col, _ = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
+                row, col, _ = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits, model.value.weights != 0)
                 chance[i:j] = model.value.chances(model.value.scores(row, col, j - i))
             yield act(batch, chance, chance[:, 0] >= threshold)
 

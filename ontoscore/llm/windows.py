@@ -209,7 +209,7 @@ def candidates(docs: DataFrame, unit: Unit, by_document: bool) -> tuple[DataFram
     by_document: a repeat counts only between different ids; else within a text too. Segments of kind 1 hold text (copies: how often
     it occurs, id: the least id that has it; made once in each batch), those of kind 0 say where runs lie (k1, k2, s0: first window, n windows).
     """
-    runs = materialise(docs.mapInArrow(_find(unit), RUNS), "runs")
+    runs = materialise(docs.select("k1", "k2", "id", "text").mapInArrow(_find(unit), RUNS), "runs")
     again = F.min("id") < F.max("id") if by_document else F.sum("c") >= 2
     known = runs.groupBy("h").agg(again.alias("again"), F.count("*").alias("runs_n")).where("again").select("h", (F.col("runs_n") > HOT).alias("hot"))
     wanted = runs.join(known, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "s0", "n", "a", "hot")).alias("runs"))
@@ -217,10 +217,11 @@ def candidates(docs: DataFrame, unit: Unit, by_document: bool) -> tuple[DataFram
     return docs, materialise(cut.mapInArrow(_cut(unit), SEGMENTS), "segments")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k1, k2, id (null: the largest long), text (null: empty) of a table."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return with_row_key(plain, "doc_id", "text").select("k1", "k2", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "doc_id", "text")
+def keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
+    """k1, k2, id (null: the largest long), doc_id, text (null: empty) of a table; rest: the other columns too, as one struct."""
+    others = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(0).alias("none")]).alias("rest")] if rest else []
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
+    return with_row_key(plain, "doc_id", "text").select("k1", "k2", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "doc_id", "text", *["rest"] * rest)
 
 
 def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[dict]]:
