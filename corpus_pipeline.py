@@ -1,5 +1,60 @@
-"""The corpus pipeline: toxicity, near-duplicates, repeated strings, benchmark leaks, then mixing."""
-STAGES = []
+"""The corpus pipeline: toxic documents go, one of each group of near-duplicates stays, repeated strings and benchmark leaks go, and the rest
+is mixed to target weights. Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ontoscore.llm import decontam, mixing, setsketch, suffix_dedup, toxicity
+from ontoscore.llm.common import materialise
+from ontoscore.llm.queries import MIX_BLOCK, MIX_DEFAULT, MIX_WEIGHTS
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setsketch.keep_one(docs)
+
+
+def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated strings; a document of which nothing but white space is left goes, if it had more."""
+    found = suffix_dedup.remove_repeats(docs.withColumn("no_text", F.col("text").isNull()), with_text=True, with_rest=True)
+    text = F.when(~F.col("rest.no_text"), F.col("kept"))
+    left = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select("doc_id", text.alias("text"), "rest.lang", "rest.source", F.when(F.col("n_removed") == 0, F.col("rest.n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, MIX_WEIGHTS, MIX_DEFAULT, block=MIX_BLOCK)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", keep_one_of_near_duplicates),
+    ("repeated_strings", remove_repeated_strings),
+    ("decontamination", remove_leaks),
+    ("mixing", mix_sources),
+]
+
+#: Model, sketches and suffix sorting have no SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
