@@ -70,6 +70,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     parent is the least one given. A null id is linked with nothing; a result with a null id is an orphan each. Arguments that are
     not JSON appear as null. Other columns are ignored.
     """
+    calls, results = calls.select("conv_id", "id", "parent", "tool", "arguments"), results.select("id", "seq", "content")
     answer = results.where("id is not null").groupBy("id").agg(F.min(F.struct("seq", "content")).alias("first"), F.count("*").alias("n_results")).select(F.col("id").alias("result_id"), F.col("first.content").alias("content"), "n_results")
     distinct = calls.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
     level = levels(distinct).select(F.col("id").alias("level_id"), "level")
