@@ -146,7 +146,8 @@ def relation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 RELATIVE = ["score", "assessability", "planned_n", "assessable_n", "true_n", "unclear_n", "not_assessable_n", "worst_case_score"]
 
 
-def _metrics_sql(anchor: bool) -> str:
+def _metrics_sql(anchor: bool, tidy: bool = True) -> str:
+    tidied = sql9 if tidy else str
     blocks = ", ".join(f"{p} AS (SELECT * FROM scores WHERE feature_group = '{g}' AND opportunity_class = '{c}')" for p, (g, c) in DIMENSIONS.items())
     columns = ", ".join(f"{p}.{c} AS {p}_{c}" for p in DIMENSIONS for c in RELATIVE)
     if anchor:
@@ -162,10 +163,10 @@ def _metrics_sql(anchor: bool) -> str:
     return f"""{with_('claims', 'relations', 'facts', 'authoritative')}, scores AS ({SCORES_SQL}), {blocks}, keys AS ({keys}), aw AS ({ACCURACY_SQL}), rw AS ({RELATION_SQL}), pa AS ({POOLED_SQL}), dr AS ({RATES_SQL}), sf AS ({FLAGS_SQL}),
 joined AS (SELECT keys.*, {columns}, {case('rw.recuperative_closure', TRUTH)} AS recuperative_closure_score, rw.strategy_implication AS strategy, {case('rw.causal_chain_structure', CHAIN_WEIGHTS)} AS chain_weight,
   {', '.join('aw.' + f for f in GROUPS['accuracy'])}, relevance, format_compliant, within_response_budget, response_complete, refusal, truncated, parse_status, alternative_causal_frame,
-  {sql9('accuracy')} AS accuracy, accuracy_assessable_n, {rates}, {flags}
+  {tidied('accuracy')} AS accuracy, accuracy_assessable_n, {rates}, {flags}
   FROM keys {joins} LEFT JOIN rw USING ({KEYS}) LEFT JOIN aw USING ({KEYS}) LEFT JOIN authoritative USING ({KEYS}) LEFT JOIN pa USING ({KEYS}) LEFT JOIN dr USING ({KEYS}) LEFT JOIN sf USING ({KEYS})),
 checked AS (SELECT *, {', '.join(f'{c} AS c{i}' for i, c in enumerate(checks))} FROM joined)
-SELECT * EXCLUDE (c0, c1, c2, c3, c4, c5), {sql9(f'CASE WHEN c0 IS NOT NULL AND {n} >= 5 THEN chain_weight * ({total}) / ({n}) END')} AS causal_coherence,
+SELECT * EXCLUDE (c0, c1, c2, c3, c4, c5), {tidied(f'CASE WHEN c0 IS NOT NULL AND {n} >= 5 THEN chain_weight * ({total}) / ({n}) END')} AS causal_coherence,
   (relevance::INT + format_compliant::INT + within_response_budget::INT + response_complete::INT)::DOUBLE / 4.0::DOUBLE AS instruction_following,
   {' OR '.join(f'coalesce({f}_flag, false)' for f in SEVERE)} AS any_severe_endorsement FROM checked"""
 
@@ -188,7 +189,7 @@ def response_metrics_recognition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(metrics_of(spark, sf_dir, "recognition"))
 
 
-METRICS = _metrics_sql(False)
+METRICS = _metrics_sql(False, tidy=False)
 
 
 def _over_metrics(select: str, more: str = "") -> str:
@@ -197,7 +198,7 @@ def _over_metrics(select: str, more: str = "") -> str:
     return f"{head.rstrip()}, m AS (SELECT * EXCLUDE (c0{tail}), e AS (SELECT * FROM extractions){more} {select}"
 
 
-@query("q_DOM4", _over_metrics(f"SELECT {KEYS}, causal_coherence FROM m WHERE causal_coherence IS NOT NULL"))
+@query("q_DOM4", _over_metrics(f"SELECT {KEYS}, {sql9('causal_coherence')} AS causal_coherence FROM m WHERE causal_coherence IS NOT NULL"))
 def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(metrics_of(spark, sf_dir)).where("causal_coherence IS NOT NULL").select(*K, "causal_coherence")
 
@@ -213,7 +214,7 @@ CELLS = f", cells AS (SELECT model_snapshot_id, item_family_id, extraction_sourc
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effects.metric_cells(_tidy(metrics_of(spark, sf_dir)), view(spark, sf_dir, "extractions"))
+    return effects.metric_cells(metrics_of(spark, sf_dir), view(spark, sf_dir, "extractions"))
 
 
 @query("q_AGG7", _over_metrics(f"SELECT * EXCLUDE (value), {sql9('value')} AS value FROM cells", CELLS))
