@@ -256,3 +256,63 @@ def exclusive_subject(extractions: DataFrame) -> DataFrame:
 def attempt_chain(runs: DataFrame) -> DataFrame:
     """Attempt 0 has no predecessor, later ones have one."""
     return violation(runs.where((F.col("attempt_index") == 0) != F.col("retry_of").isNull()), "VAL41", F.col("run_id"), "attempt and retry do not agree")
+
+
+# ---------------------------------------------------------------- rows of runs
+
+
+def claim_count(rows: DataFrame) -> DataFrame:
+    """rows: the triple, n_claims, primary_feature_count, secondary_feature_count, monitor_feature_count. A sum of 0 asks for nothing."""
+    due = sum((F.coalesce(F.col(c), F.lit(0)) for c in ("secondary_feature_count", "monitor_feature_count")), F.coalesce("primary_feature_count", F.lit(0)))
+    return violation(rows.where((due != 0) & ~F.col("n_claims").eqNullSafe(due)), "VAL27", F.concat_ws("/", F.col("n_claims").cast("string"), due.cast("string")), "claims length differs from the counts asked for")
+
+
+def semantic_fields(semantic: DataFrame) -> DataFrame:
+    bad = outside(F.col("relevance"), ["relevant", "irrelevant", "unclear"]) | F.col("refusal_detected").isNull()
+    return violation(semantic.where(bad), "VAL34", F.coalesce("relevance", F.lit("null")), "semantic assessment is not valid")
+
+
+def hidden_failures(outputs: DataFrame, reduced: DataFrame, strict_jobs: bool = False) -> DataFrame:
+    """Failed jobs that their reduced row does not name; in strict mode all failed jobs. reduced: custom_id, failed_jobs (structs with job_id)."""
+    failed = outputs.where(~F.coalesce(F.col("ok"), F.lit(False))).select("custom_id", "job_id").distinct()
+    named = reduced.select("custom_id", F.explode("failed_jobs.job_id").alias("job_id"))
+    hidden = violation(failed.join(named, ["custom_id", "job_id"], "left_anti"), "VAL35", F.col("job_id"), "failed job is not surfaced")
+    return hidden.unionByName(violation(failed, "VAL35", F.col("job_id"), "job failed")) if strict_jobs else hidden
+
+
+def identity(reduced: DataFrame, requests: DataFrame) -> DataFrame:
+    """Reduced rows without a request, or with another family or request hash. Both: custom_id, item_family_id, request_body_sha256."""
+    r = requests.select("custom_id", F.col("item_family_id").alias("f"), F.col("request_body_sha256").alias("h"), F.lit(True).alias("known"))
+    x = reduced.join(r, "custom_id", "left")
+    return union([
+        violation(x.where("known IS NULL"), "VAL36", F.col("custom_id"), "no matching request"),
+        violation(x.where("known AND NOT (item_family_id <=> f)"), "VAL36", F.col("custom_id"), "family differs from request"),
+        violation(x.where("known AND NOT (request_body_sha256 <=> h)"), "VAL36", F.col("custom_id"), "request hash differs"),
+    ])
+
+
+def row_status(rows: DataFrame, strict_rows: bool) -> DataFrame:
+    """Runner rows that are not ok, with severity: error in strict mode, else warning."""
+    bad = violation(rows.where(~F.coalesce(F.col("ok"), F.lit(False))), "VAL37", F.col("custom_id"), "runner row is not ok")
+    return bad.withColumn("severity", F.lit("error" if strict_rows else "warning"))
+
+
+def matrix_size(matrix: DataFrame, families: DataFrame, features: DataFrame) -> DataFrame:
+    """n_expected and n_rows of the opportunity matrix; counts only, no pairs."""
+    f, g, m = (df.select(c).distinct().agg(F.count("*").alias(n)) for df, c, n in ((families, "item_family_id", "f"), (features, "feature_id", "g"), (matrix.select(F.concat_ws("|", "item_family_id", "feature_id").alias("p")), "p", "n_rows")))
+    return f.join(g, F.lit(True)).join(m, F.lit(True)).select((F.col("f") * F.col("g")).alias("n_expected"), "n_rows")
+
+
+def parse_status(rows: DataFrame, response: str, judged: str) -> DataFrame:
+    """rows with parse_status: how far the judge's answer can be used. response: the transport's JSON text; judged: the answer's."""
+    keys = F.coalesce(F.json_object_keys(judged), F.array().cast("array<string>"))
+    whole = F.size(F.array_except(F.array(*[F.lit(k) for k in OUTPUT_KEYS]), keys)) == 0
+    same = F.get_json_object(judged, "$.schema_version").eqNullSafe(F.lit(SCHEMA_VERSION)) & F.get_json_object(judged, "$.rubric_version").eqNullSafe(F.lit(RUBRIC_VERSION))
+    status = (
+        F.when(F.col(response).isNull(), "request_failed")
+        .when(F.try_parse_json(response).isNull(), "raw_response_json_failed")
+        .when(F.json_object_keys(judged).isNull(), "judge_json_failed")
+        .when(~(whole & same), "judge_schema_failed")
+        .otherwise("ok")
+    )
+    return rows.withColumn("parse_status", status)

@@ -92,3 +92,49 @@ def cluster_power(effect: float, families: int, reps: int = 5, sd_family: float
     x = effect + rng.normal(0, sd_family, (draws, families)) + rng.normal(0, sd_rep / np.sqrt(reps), (draws, families))
     error = x.std(axis=1, ddof=1) / np.sqrt(families)
     return {"power": float((np.abs(x.mean(axis=1)) > critical * error).mean()), "half_width": float(np.median(critical * error))}
+
+
+def discriminant_panel(scores: DataFrame) -> DataFrame:
+    """scores: response_id, recognition, neoclassical, institutionalist. Whether recognition stays below both comparators, and the means."""
+    below = (F.col("recognition") < F.col("neoclassical")) & (F.col("recognition") < F.col("institutionalist"))
+    return scores.agg(F.count("*").alias("n"), F.count_if(below).alias("n_below"), *[F.avg(c).alias(c) for c in ("recognition", "neoclassical", "institutionalist")])
+
+
+def bca_interval(values: np.ndarray, draws: int = 5000, seed: int = 202604, alpha: float = 0.05) -> tuple[float, float]:
+    """Bias-corrected and accelerated bootstrap interval of the mean; one value for each family."""
+    from statistics import NormalDist
+
+    normal = NormalDist()
+    x = np.asarray(values, float)
+    n = len(x)
+    sims = np.sort(x[np.random.default_rng(seed).integers(0, n, (draws, n))].mean(axis=1))
+    share = min(max((sims < x.mean()).mean(), 1 / (2 * draws)), 1 - 1 / (2 * draws))
+    z0 = normal.inv_cdf(share)
+    jack = (x.sum() - x) / (n - 1)
+    d = jack.mean() - jack
+    a = (d**3).sum() / (6 * ((d**2).sum() ** 1.5)) if (d != 0).any() else 0.0
+    at = [normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (normal.inv_cdf(alpha / 2), normal.inv_cdf(1 - alpha / 2))]
+    return tuple(float(np.quantile(sims, q)) for q in at)
+
+
+def ranks(means: DataFrame, model: str, value: str, by: list[str]) -> DataFrame:
+    """Rank of each model within a replicate (1 is the largest value), and how often each model has each rank."""
+    w = Window.partitionBy(*by).orderBy(F.desc(value), model)
+    ranked = means.withColumn("rank", F.row_number().over(w))
+    return ranked.groupBy(model, "rank").agg(F.count("*").alias("n"))
+
+
+def superiority(means: DataFrame, model: str, value: str, by: list[str]) -> DataFrame:
+    """Share of replicates in which one model's value exceeds another's; models are few, replicates are the rows."""
+    a = means.select(*by, F.col(model).alias("better"), F.col(value).alias("x"))
+    b = means.select(*by, F.col(model).alias("worse"), F.col(value).alias("y"))
+    pairs = a.join(b, by).where("better <> worse")
+    return pairs.groupBy("better", "worse").agg(F.count("*").alias("n"), (F.count_if("x > y").cast("double") / F.count("*")).alias("share"))
+
+
+def robustness(counts: DataFrame, minima: list[float]) -> DataFrame:
+    """Mean gated score and number of scored extractions by dimension, for several minimum assessabilities at once. counts: dimension_counts()."""
+    planned, assessable = _d(F.col("planned_n")), _d(F.col("assessable_n"))
+    each = counts.withColumn("minimum", F.explode(F.array(*[F.lit(float(m)) for m in minima])))
+    value = F.when(assessable / planned >= F.col("minimum"), _d(F.col("true_n")) / F.nullif(assessable, F.lit(0.0)))
+    return each.groupBy("feature_group", "opportunity_class", "minimum").agg(F.count(value).alias("n_scored"), F.avg(value).alias("mean_score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ontoscore.fixed import CELL_DIMENSIONS, EXEMPT_RELATION_VALUES, GROUPS, K, RELATIONS
 from ontoscore.functions import ident, text
-from ontoscore.operators import effects, evidence, flatten, requests, rules, score, stats, swarm
+from ontoscore.operators import assess, effects, evidence, flatten, requests, rules, score, stats, swarm
 from ontoscore.plans.overlay import with_
 from ontoscore.plans.queries import BASE, JOBS, KEYS, LABELS, _labels, _over_metrics, _requests, _rule, bent, exports_of, metrics_of, query, r9, sql9, table, view
 
@@ -306,3 +306,115 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("n"), F.col("l_linenumber") % 3).alias("lineage"), F.col("l_returnflag").alias("stage")).agg(F.avg(F.col("l_quantity").cast("double")).alias("value")).withColumn("dimension", F.lit("price"))
     return effects.stage_deltas(means, {"A": 0, "N": 1, "R": 2}).select("lineage", "stage", "dimension", "stage_order", F.round("delta", 6).alias("delta"))
+
+
+# ---------------------------------------------------------------- rows of runs, and reports
+
+
+@query("q_VAL27", f"{with_('claims')} SELECT response_id, CAST(count(*) AS VARCHAR) || '/' || CAST(count(*) + 1 AS VARCHAR) AS key FROM claims WHERE source_identifier = 'j0' GROUP BY response_id HAVING count(*) % 3 = 0")
+def val27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = view(spark, sf_dir, "claims").where("source_identifier = 'j0'").groupBy("response_id").agg(F.count("*").alias("n_claims"))
+    rows = n.select("response_id", "n_claims", F.when(F.col("n_claims") % 3 == 0, 1).otherwise(0).alias("primary_feature_count"), F.col("n_claims").alias("secondary_feature_count"), F.lit(None).cast("long").alias("monitor_feature_count"))
+    return rules.claim_count(rows).select("response_id", "key")
+
+
+@query("q_VAL34", f"{with_('authoritative')} SELECT {KEYS} FROM authoritative WHERE relevance IS NULL OR truncated")
+def val34(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = view(spark, sf_dir, "authoritative")
+    rows = a.select(*K, F.when(F.col("relevance").isNull(), "maybe").when(F.col("relevance"), "relevant").otherwise("irrelevant").alias("relevance"), F.when(~F.col("truncated"), F.col("refusal")).alias("refusal_detected"))
+    return rules.semantic_fields(rows).select(*K)
+
+
+@query("q_VAL35", f"SELECT job_id AS key FROM ({JOBS}) WHERE md5(job_id) < '2' AND substr(md5(job_id), 2, 1) < '4'")
+def val35(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.md5(F.col("job_id").cast("binary"))
+    outputs = swarm.decompose(_requests(spark, sf_dir)).select("custom_id", "job_id", (h >= "2").alias("ok"))
+    named = outputs.where(~F.col("ok") & (F.substring(h, 2, 1) >= "4")).groupBy("custom_id").agg(F.collect_list(F.struct("job_id")).alias("failed_jobs"))
+    return rules.hidden_failures(outputs, named).select("key")
+
+
+@query("q_VAL36", "SELECT CAST(c_custkey AS VARCHAR) AS key, unnest(CASE WHEN c_custkey % 5 = 0 THEN ['no matching request'] ELSE list_filter([CASE WHEN c_custkey % 7 = 0 THEN 'family differs from request' END, CASE WHEN c_custkey % 11 = 0 THEN 'request hash differs' END], lambda x: x IS NOT NULL) END) AS message FROM customer")
+def val36(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    reduced_ = c.select(k.cast("string").alias("custom_id"), F.when(k % 7 == 0, "x").otherwise("f").alias("item_family_id"), F.when(k % 11 == 0, F.lit(None)).otherwise(F.lit("h")).alias("request_body_sha256"))
+    req = c.where(k % 5 != 0).select(k.cast("string").alias("custom_id"), F.lit("f").alias("item_family_id"), F.lit("h").alias("request_body_sha256"))
+    return rules.identity(reduced_, req).select("key", "message")
+
+
+@query("q_VAL37", "SELECT CAST(event_id AS VARCHAR) AS key, 'warning' AS severity FROM events WHERE event_type = 'error'")
+def val37(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("custom_id"), (F.col("event_type") != "error").alias("ok"))
+    return rules.row_status(rows, strict_rows=False).select("key", "severity")
+
+
+@query("q_VAL39", f"{with_('opportunities')} SELECT CAST(24 * {sum(len(x) for x in GROUPS.values())} AS BIGINT) AS n_expected, count(*) AS n_rows FROM (SELECT DISTINCT item_family_id, feature_id FROM opportunities)")
+def val39(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = view(spark, sf_dir, "opportunities")
+    return rules.matrix_size(o, o, view(spark, sf_dir, "features"))
+
+
+@query("q_VAL46", f"{with_('extractions')} SELECT {KEYS}, CASE k % 5 WHEN 0 THEN 'request_failed' WHEN 1 THEN 'raw_response_json_failed' WHEN 2 THEN 'judge_json_failed' WHEN 3 THEN 'judge_schema_failed' ELSE 'ok' END AS parse_status FROM extractions")
+def val46(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.substring("response_id", 2, 12).cast("long") % 5
+    e = exports_of(spark, sf_dir)
+    rows = e.select(*K, F.when(k == 1, "<html>").when(k > 1, "{}").alias("raw"), F.when(k == 2, "[1]").when(k == 3, F.regexp_replace("raw_judge_output", "hm_v0", "hm_v1")).otherwise(F.col("raw_judge_output")).alias("judged"))
+    return rules.parse_status(rows, "raw", "judged").select(*K, "parse_status")
+
+
+@query("q_ST7", _over_metrics("SELECT count(*) AS n, count(*) FILTER (WHERE recognition_score < neoclassical_score AND recognition_score < institutionalist_score) AS n_below, round(avg(recognition_score), 7) AS recognition, round(avg(neoclassical_score), 7) AS neoclassical, round(avg(institutionalist_score), 7) AS institutionalist FROM m"))
+def discriminants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = metrics_of(spark, sf_dir).select("response_id", F.col("recognition_score").alias("recognition"), F.col("neoclassical_score").alias("neoclassical"), F.col("institutionalist_score").alias("institutionalist"))
+    return stats.discriminant_panel(m).withColumns({c: F.round(c, 7) for c in ("recognition", "neoclassical", "institutionalist")})
+
+
+RANK_VALUES = "SELECT concat('m', c_nationkey % 4) AS model, c_custkey % 50 AS rep, round(avg(c_acctbal), 2) AS v FROM customer GROUP BY ALL"
+
+
+@query("q_ST10", f"WITH v AS ({RANK_VALUES}), r AS (SELECT model, CAST(row_number() OVER (PARTITION BY rep ORDER BY v DESC, model) AS INTEGER) AS rank FROM v) SELECT model, rank, count(*) AS n FROM r GROUP BY ALL")
+def rank_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    means = c.groupBy(F.concat(F.lit("m"), F.col("c_nationkey") % 4).alias("model"), (F.col("c_custkey") % 50).alias("rep")).agg(F.round(F.avg("c_acctbal"), 2).alias("v"))
+    return stats.ranks(means, "model", "v", ["rep"])
+
+
+@query("q_ST11", f"{with_('claims')}, c AS (SELECT {KEYS}, feature_group, opportunity_class, count(*) AS p, count(*) FILTER (WHERE status IN ('true', 'false')) AS a, count(*) FILTER (WHERE status = 'true') AS t FROM claims GROUP BY ALL), x AS (SELECT *, unnest([0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]) AS minimum FROM c) SELECT feature_group, opportunity_class, minimum, count(CASE WHEN a::DOUBLE / p >= minimum THEN t::DOUBLE / nullif(a, 0) END) AS n_scored, round(avg(CASE WHEN a::DOUBLE / p >= minimum THEN t::DOUBLE / nullif(a, 0) END), 7) AS mean_score FROM x GROUP BY ALL")
+def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.robustness(score.dimension_counts(view(spark, sf_dir, "claims")), [0.7, 0.8, 0.9, 1.0]).withColumn("mean_score", F.round("mean_score", 7))
+
+
+@query("q_STR22", "SELECT page_id, 'http://h' || page_id || '/v1/chat/completions' AS endpoint FROM pages")
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.concat(F.lit("http://h"), "page_id", F.when(F.col("page_id") % 3 == 0, "/v1/").when(F.col("page_id") % 3 == 1, "/v1/chat/completions").otherwise("//"))
+    return table(spark, sf_dir, "pages").select("page_id", text.chat_url(base).alias("endpoint"))
+
+
+@query("q_STR23", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'code' WHEN 1 THEN 'document' WHEN 2 THEN 'table' ELSE 'other' END AS class FROM documents")
+def file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    path = F.concat(F.lit("/a.b/"), "doc_id", F.when(k == 0, ".PY").when(k == 1, ".md").when(k == 2, ".parquet").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", text.file_class(path).alias("class"))
+
+
+@query("q_MATH1", "SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE / nullif(l_linenumber - 1, 0) AS q FROM lineitem")
+def safe_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", score.ratio(F.col("l_quantity"), F.col("l_linenumber") - 1).alias("q"))
+
+
+@query("q_MATH7", "SELECT l_returnflag, round(quantile_cont(l_quantity::DOUBLE, 0.025), 9) AS low, round(quantile_cont(l_quantity::DOUBLE, 0.975), 9) AS high FROM lineitem GROUP BY 1")
+def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile(q, 0.025), 9).alias("low"), F.round(F.percentile(q, 0.975), 9).alias("high"))
+
+
+@query("q_BOOL1", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS relevance FROM documents")
+def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, "relevant").when(k == 1, "irrelevant").otherwise("unclear")
+    return table(spark, sf_dir, "documents").select("doc_id", assess.relevance(said).alias("relevance"))
+
+
+@query("q_ARR1", "SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS modes, array_to_string(list(l_linenumber ORDER BY l_linenumber), ',') AS line_numbers FROM lineitem GROUP BY 1")
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("a"), F.array_sort(F.collect_list("l_linenumber")).alias("b"))
+    return g.select("l_orderkey", F.array_join(F.array_sort(F.array_distinct("a")), ",").alias("modes"), F.array_join(F.col("b").cast("array<string>"), ",").alias("line_numbers"))
