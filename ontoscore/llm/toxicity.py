@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,12 +126,10 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bit
             yield record(schema, id=batch.column("id").to_pylist(), label=batch.column("label").to_pylist(), cols=[x.astype(np.int32) for x in np.split(col, cut)] if batch.num_rows else [], times=[x.astype(np.int32) for x in np.split(times, cut)] if batch.num_rows else [])
 
     # repeated rows of one id: one of them stands for it
-    got = texts.mapInArrow(run, "id long, label int, cols array<int>, times array<int>").dropDuplicates(["id"]).orderBy("id").toArrow()
-    cols = [np.array(x, np.int64) for x in got.column("cols").to_pylist()]
-    times = [np.array(x, np.int64) for x in got.column("times").to_pylist()]
-    rows = np.repeat(np.arange(len(cols)), [len(x) for x in cols]) if cols else np.zeros(0, np.int64)
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return rows, cat(cols), cat(times), np.array(got.column("label").to_pylist(), np.int64)
+    got = texts.mapInArrow(run, "id long, label int, cols array<int>, times array<int>").dropDuplicates(["id"]).toArrow().sort_by("id").combine_chunks()
+    flat = lambda c: pa.concat_arrays(got.column(c).chunks).flatten().to_numpy() if got.num_rows else np.zeros(0, np.int32)
+    sizes = pa.compute.list_value_length(got.column("cols")).to_numpy().astype(np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), flat("cols"), flat("times"), got.column("label").to_numpy().astype(np.int64)
 
 
 def graded(rows: np.ndarray, cols: np.ndarray, times: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
