@@ -268,6 +268,7 @@ def resolved(segments: DataFrame, work: Callable[[list[dict]], list[list[tuple[i
 
 def spans_of(segments: DataFrame, found: DataFrame, whole: Callable[[Column, Column], Column]) -> DataFrame:
     """k1, k2, spans: the repeated windows of each document. whole(id, piece): whether all of a piece (copies, first_id) is repeated in a document."""
+    found = materialise(found, "resolved")  # it is joined twice
     piece = lambda off, n: F.array(F.struct(off.alias("off"), n.alias("n"), "spans", "copies", "first_id"))
     cut = segments.where("kind = 2").select("h", "run", "g", "fp", "s0", "n").distinct().join(found, ["g", "fp"])
     hot = cut.groupBy("h", "run").agg(F.flatten(F.collect_list(piece(F.col("s0"), F.col("n")))).alias("pieces"))
