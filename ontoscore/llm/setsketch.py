@@ -116,7 +116,7 @@ def _sketch(width: int):
 
 
 def _families(percent: int):
-    """Rows sorted by bucket: an edge from each node to every leader of its bucket that it is near; a node that is plausible with none leads too.
+    """Rows sorted by bucket: edges that join each node with every leader of its bucket that it is near, none twice; a node that is plausible with none leads too.
 
     A node is within 1 - plausible of its leader, a node linked to it within 1 - percent/100 of it, so within their sum of the leader.
     """
@@ -124,22 +124,28 @@ def _families(percent: int):
     near = max(0.02, percent / 100 + plausible - 1 - SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, leaders, sketches, sizes = None, [], [], []
+        bucket, leaders, sketches, sizes, group = None, [], [], [], []
         for batch in batches:
             us, vs = [], []
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "n", "regs")), strict=True):
                 key, node, n, regs = row
                 regs = np.frombuffer(regs, np.uint16)
                 if key != bucket:
-                    bucket, leaders, sketches, sizes = key, [], [], []
+                    bucket, leaders, sketches, sizes, group = key, [], [], [], []
                 lead = True
                 if leaders:
                     est = likely(regs, n, np.array(sketches), np.array(sizes))
-                    for k in np.flatnonzero(est >= near).tolist():
+                    close = np.flatnonzero(est >= near).tolist()
+                    lead = est.max() < plausible
+                    mine = {group[k]: k for k in close}  # leaders that edges have joined already need one edge
+                    for k in mine.values():
                         us.append(node)
                         vs.append(leaders[k])
-                    lead = est.max() < plausible
+                    if len(mine) > 1:
+                        one = min(mine)
+                        group = [one if g in mine else g for g in group]
                 if lead:
+                    group.append(min(mine) if leaders and mine else len(leaders))
                     leaders.append(node)
                     sketches.append(regs)
                     sizes.append(n)
