@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +22,8 @@ SCALE = 256
 K = 5
 #: Low bits that the index leaves out.
 DROPPED = 2
+#: Rows of a block. Queries pass by it in Arrow batches, so memory is bounded by a block.
 ROWS = 16384
-QUERIES = 1024
 
 
 def integers(col: Column, scale: int = SCALE) -> Column:
@@ -138,31 +139,51 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 def _search(k: int):
-    def run(rows: Iterator[pa.RecordBatch], queries: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = [], []
-        for b in rows:
-            ids.append(b.column("vec_id").to_numpy(zero_copy_only=False))
-            vectors.append(b.column("v"))
-        if not ids or not sum(map(len, ids)):
-            return
-        all_ids = np.concatenate(ids)
-        lists = [x for c in vectors for x in c.to_pylist()]
-        by: dict[int, list[int]] = {}
-        for i, x in enumerate(lists):
-            by.setdefault(len(x), []).append(i)
-        blocks = {d: Block(all_ids[i], np.array([lists[x] for x in i], np.int64)) for d, i in by.items()}
-        for b in queries:
+    """Rows sorted by block and kind: the rows of a block (0), which are indexed, then the queries (1), which are streamed."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
+        block, kind = (batch.column(c).to_numpy() for c in ("block", "kind"))
+        ids, v = batch.column("id").to_numpy(), batch.column("v")
+        edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+        for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(block)], strict=True):
+            if j > i:
+                yield int(block[i]), int(kind[i]), ids[i:j], v.slice(i, j - i)
+
+    def vectors(v: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Places and matrix of the vectors of each length."""
+        sizes, flat = pa.compute.list_value_length(v).to_numpy(), v.flatten().to_numpy()
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        out = {}
+        for d in np.unique(sizes).tolist():
+            places = np.flatnonzero(sizes == d)
+            out[d] = places, flat[at[places][:, None] + np.arange(d)[None, :]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, blocks = None, [], {}
+        for batch in batches:
             found = []
-            for q, v in zip(b.column("query_id").to_pylist(), b.column("v").to_pylist(), strict=True):
-                if len(v) in blocks:
-                    found += [(q, i, s) for s, i in blocks[len(v)].search(np.array(v, np.int64), q, k)]
+            for block, kind, ids, v in cut(batch):
+                if block != at:
+                    at, waiting, blocks = block, [], {}
+                if kind == 0:
+                    waiting.append((ids, v))
+                    continue
+                if waiting:
+                    all_ids = np.concatenate([x[0] for x in waiting])
+                    blocks = {d: Block(all_ids[places], m) for d, (places, m) in vectors(pa.concat_arrays([x[1] for x in waiting])).items()}
+                    waiting = []
+                for d, (places, m) in vectors(v).items():
+                    if d in blocks:
+                        for i, q in zip(ids[places].tolist(), m, strict=True):
+                            found += [(i, x, s) for s, x in blocks[d].search(q, i, k)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, rows: int = ROWS, batch: int = QUERIES) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, rows: int = ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of the largest integer inner product for each row that `queries` selects.
 
     Components are floor(scale * x). Vectors that are null or empty or hold null or non-finite components take no part, nor do rows
@@ -175,17 +196,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     dealt = table.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"))
     asked = table.where("is_query").select(F.col("vec_id").alias("query_id"), "v").distinct()
     every = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    found = dealt.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_pairs(k), FOUND)
+    both = dealt.select("block", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v").unionByName(every.select("block", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v"))
+    found = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_search(k), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _pairs(k: int):
-    work = _search(k)
-
-    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out = list(work(iter(rows.to_batches()), iter(queries.to_batches())))
-        kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-        return pa.Table.from_batches([x.cast(kind) if x.schema != kind else x for x in out], kind)
-
-    return run
