@@ -84,10 +84,12 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, id_col: str
     made = ["source_block", "slot", "release", "deadline", "position", "in_ratio"]
     docs = docs.drop(*[c for c in docs.columns if c in made])
     columns = docs.columns
-    ties = [c for c in columns if not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(source_col).cast("string").alias("mix_source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("mix_key"), *[F.col(c).alias(f"tie_{i}") for i, c in enumerate(ties) if c != source_col and c != "text"])
-    rows = ranked(rows, "mix_source", "mix_key", [c for c in rows.columns if c.startswith("tie_")])
-    rows = rows.select("row", "mix_source", "rank", F.floor(F.col("rank") / block).alias("source_block"))
+    # columns keep apart, so that those a caller does not select are not moved; ties are broken by all but the text
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in columns}
+    ties = [f"mix_{i}" for i, c in enumerate(columns) if c not in (source_col, "text") and not kinds[c].startswith(("map", "variant"))]
+    own = [F.col(f"`{c}`").alias(f"mix_{i}") for i, c in enumerate(columns)]
+    rows = docs.select(*own, F.col(source_col).cast("string").alias("mix_source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("mix_key"))
+    rows = ranked(rows, "mix_source", "mix_key", ties).withColumn("source_block", F.floor(F.col("rank") / block))
     listed = F.create_map(*[F.lit(x) for k, w in sorted(weights.items()) for x in (k, w)]) if weights else F.lit(None).cast("map<string,int>")
     weight = F.coalesce(F.try_element_at(listed, F.coalesce("source", F.lit(""))), F.lit(default))
     counts = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")).withColumn("weight", weight)
@@ -99,10 +101,10 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, id_col: str
     rows = rows.withColumn("w", weight_of(weights, default)).withColumn("plan_turn", F.col("source_block") % F.col("w"))
     joined = rows.drop("w").join(plan, F.col("mix_source").eqNullSafe(F.col("plan_source")) & (rows["plan_turn"] == plan["plan_turn"]))
     cycle = F.floor(F.col("source_block") / F.col("w")) * F.col("total")
-    joined = joined.select("row", "source_block", (cycle + F.col("at")).alias("slot"), (cycle + F.col("r")).alias("release"), (cycle + F.col("d")).alias("deadline"), ((cycle + F.col("at")) * block + F.col("rank") % block).alias("position"))
+    joined = joined.select(*[f"mix_{i}" for i in range(len(columns))], "source_block", (cycle + F.col("at")).alias("slot"), (cycle + F.col("r")).alias("release"), (cycle + F.col("d")).alias("deadline"), ((cycle + F.col("at")) * block + F.col("rank") % block).alias("position"))
     first_end = last.first()
     bound = first_end[0] if first_end and first_end[0] is not None else 0
-    return joined.select("row.*", "source_block", "slot", "release", "deadline", "position", (F.col("slot") < bound).alias("in_ratio"))
+    return joined.select(*[F.col(f"mix_{i}").alias(c) for i, c in enumerate(columns)], "source_block", "slot", "release", "deadline", "position", (F.col("slot") < bound).alias("in_ratio"))
 
 
 def weight_of(weights: dict[str, int], default: int) -> Column:
