@@ -129,7 +129,7 @@ def superiority(means: DataFrame, model: str, value: str, by: list[str]) -> Data
     a = means.select(*by, F.col(model).alias("better"), F.col(value).alias("x"))
     b = means.select(*by, F.col(model).alias("worse"), F.col(value).alias("y"))
     pairs = a.join(b, by).where("better <> worse")
-    return pairs.groupBy("better", "worse").agg(F.count("*").alias("n"), (F.count_if("x > y").cast("double") / F.count("*")).alias("share"))
+    return pairs.groupBy("better", "worse").agg(F.count("*").alias("n"), (F.count_if(F.col("x") > F.col("y")).cast("double") / F.count("*")).alias("share"))
 
 
 def robustness(counts: DataFrame, minima: list[float]) -> DataFrame:
