@@ -57,8 +57,11 @@ def runs_of(values: np.ndarray, first: np.ndarray, unit: Unit) -> tuple[np.ndarr
     while i < rows:
         j = max(i + 1, int(np.searchsorted(first, first[i] + PART, "right")) - 1)
         lo, hi = int(first[i]), int(first[j])
+        if hi - lo < W:  # no window; a chunk of empty rows has no units at all
+            i = j
+            continue
         step = PART if j == i + 1 else hi - lo
-        for at in range(lo, max(hi - W + 1, lo + 1), step):
+        for at in range(lo, hi - W + 1, step):
             end = min(hi, at + step + W - 1)
             grams = gram_hash(values[at:end], k)
             if end - at < W:

@@ -94,6 +94,15 @@ def test_empty_table_and_kept_text(spark):
     assert got[0]["spans"][0].asDict() == {"start": 0, "length": 600}
 
 
+def test_only_null_and_empty_texts_in_a_partition(spark):
+    rows = [(1, None), (2, ""), (3, None), (4, "")]
+    got = remove_repeats(table(spark, rows).coalesce(1), length=40).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_bytes(rows, 40)
+    rows += [(5, " \t "), (6, "\n")]
+    got = remove_passages(table(spark, rows).coalesce(1), window=8).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_words(rows, 8)
+
+
 def test_long_texts_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(windows, "PART", 300)
     monkeypatch.setattr(windows, "MOST", 50)
