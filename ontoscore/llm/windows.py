@@ -5,7 +5,8 @@ Each window belongs to the least hash among its k-grams (its anchor); equal wind
 whose anchor occurs twice can hold a repeat. A first pass ships anchors alone; a second one ships the text of candidate runs,
 equal segments combined where they are made. An anchor with many runs is hot: its runs are cut into pieces of PIECE windows that
 are grouped by the bytes all windows of the piece share, so what only touches a frequent passage falls away from it and what lies
-in it combines to one row. No run is dropped or capped.
+in it combines to one row. Those bytes follow from each window's own leftmost anchor, so equal windows meet whatever run they are
+in. No run is dropped or capped.
 """
 
 from __future__ import annotations
@@ -117,6 +118,13 @@ def fingerprint(b: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b) - (1 << 63)
 
 
+def leftmost(unit: Unit, seg: bytes, h: int, n: int) -> list[int]:
+    """For each of the n windows of a segment with the anchor hash h, the first place in it where that stands."""
+    values, *_ = unit.hashes(np.frombuffer(seg, np.uint8), np.array([0, len(seg)]))
+    at = np.flatnonzero((gram_hash(values, unit.k) & ~POSITION) == (np.array([h]).view(np.uint64) & ~POSITION))
+    return at[np.searchsorted(at, np.arange(n))].tolist()
+
+
 def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -124,22 +132,21 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     schema = to_arrow_schema(StructType.fromDDL(SEGMENTS))
     W = unit.window
 
-    def pieces(run: dict) -> Iterator[tuple[int | None, int, int]]:
+    def pieces(run: dict, seg: bytes) -> Iterator[tuple[int | None, int, int]]:
         """(first unit of the shared part, or None: by hash; first window; windows)"""
-        s0, end, a = run["s0"], run["s0"] + run["n"], run["a"]
+        s0, end = run["s0"], run["s0"] + run["n"]
         if not run["hot"]:
             for s in range(s0, end, MOST):
                 yield None, s, min(MOST, end - s)
-        elif a < 0:
-            for s in range(s0, end):
-                yield s, s, 1
-        else:
-            s = s0
-            while s < end:
-                j = (a - s) // PIECE  # windows a - 8j - 7 .. a - 8j
-                stop = min(end, a - PIECE * j + 1)
-                yield a - PIECE * j, s, stop - s
-                s = stop
+            return
+        places = None if run["a"] >= 0 else leftmost(unit, seg, run["h"], run["n"])
+        s = s0
+        while s < end:
+            a = run["a"] if places is None else s0 + places[s - s0]
+            j = (a - s) // PIECE  # windows a - 8j - 7 .. a - 8j; later ones up to a have no anchor before a either
+            stop = min(end, a - PIECE * j + 1)
+            yield a - PIECE * j, s, stop - s
+            s = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple[int, int], list] = {}
@@ -175,17 +182,17 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                     s0, h = r["s0"], r["h"]
                     whole = [(s, min(MOST, s0 + r["n"] - s)) for s in range(s0, s0 + r["n"], MOST)]
                     for first, n in whole:
-                        name = (h, fingerprint(units(first, first + n + W - 1)))
+                        whole_run = units(first, first + n + W - 1)
+                        name = (h, fingerprint(whole_run))
                         parts = known.get(name)
                         if parts is None:
                             parts = known[name] = []
-                            for core, s, m in pieces(r | {"s0": first, "n": n}):
+                            for core, s, m in pieces(r | {"s0": first, "n": n}, whole_run):
                                 seg = units(s, s + m + W - 1)
                                 if core is None:
                                     key = name
                                 else:
-                                    width = W if r["a"] < 0 else W - PIECE + 1
-                                    key = (fingerprint(units(core, core + width)), fingerprint(seg))
+                                    key = (fingerprint(units(core, core + W - PIECE + 1)), fingerprint(seg))
                                     rows.append((2, *name, *key, 0, 0, 0, s - first, m, 0, None))
                                     held += 150
                                 if key not in made:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ontoscore.llm import windows
+from ontoscore.llm import rlz, suffix_dedup, windows
 from ontoscore.llm.rlz import parse_group, remove_passages
 from ontoscore.llm.suffix_dedup import remove_repeats, repeats
 
@@ -94,6 +94,29 @@ def test_empty_table_and_kept_text(spark):
     assert got[0]["spans"][0].asDict() == {"start": 0, "length": 600}
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_hot_windows_meet_whatever_run_they_are_in(spark, monkeypatch, seed):
+    """A line stands twice shortly before a shared passage in some documents, so its anchors stand at several places there."""
+    monkeypatch.setattr(windows, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 0)  # groups are sorted one by one
+    monkeypatch.setattr(suffix_dedup, "GRAM", 8)
+    monkeypatch.setattr(rlz, "GRAM", 3)
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    rows = []
+    for p in range(6):
+        line = [word() for _ in range(5)]
+        passage = line + [word() for _ in range(25)]
+        for i in range(5):
+            before = [word() for _ in range(6)] + (line + [word() for _ in range(r.randint(0, 2))]) * (i % 3)
+            rows.append((10 * p + i, " ".join(before + passage + [word() for _ in range(6)])))
+    r.shuffle(rows)
+    got = remove_repeats(table(spark, rows), length=60).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(x) for x in got.collect()) == brute_bytes(rows, 60)
+    got = remove_passages(table(spark, rows), window=12).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(x) for x in got.collect()) == brute_words(rows, 12)
+
+
 def test_only_null_and_empty_texts_in_a_partition(spark):
     rows = [(1, None), (2, ""), (3, None), (4, "")]
     got = remove_repeats(table(spark, rows).coalesce(1), length=40).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
