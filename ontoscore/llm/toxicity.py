@@ -1,8 +1,9 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 P(grade <= k) = sigmoid(threshold_k - x.w): all ordered thresholds share the weights w of hashed words. The fit sees a bounded sample of
-labelled texts; scoring goes over every text in one pass, without a shuffle. The output is the expected severity, the sum over k of
-P(grade > k), with the chances of each grade.
+labelled texts, each class weighted to its share of all labels, so that chances mean the same at every size; scoring goes over every
+text in one pass, without a shuffle. The output is the expected severity, the sum over k of P(grade > k), with the chances of each
+grade.
 """
 
 from __future__ import annotations
@@ -61,9 +62,10 @@ class Model:
         return np.bincount(rows, self.weights[words_], n)
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, width: int, penalty: float = 3e-6, rounds: int = 300, rate: float = 0.1) -> Model:
-    """Maximum likelihood with an L2 penalty, by full-batch Adam. rows, cols: the ones of the feature matrix."""
+def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, width: int, penalty: float = 3e-6, rounds: int = 300, rate: float = 0.1, counts: np.ndarray | None = None) -> Model:
+    """Maximum likelihood with an L2 penalty, by full-batch Adam. rows, cols: the ones of the feature matrix; counts: texts that a row stands for (1)."""
     n = len(grades)
+    weight = (np.ones(n) if counts is None else counts) / (n if counts is None else max(counts.sum(), 1e-9))
     present = np.unique(grades)
     if n == 0 or len(present) < 2:  # nothing to tell apart: everything gets the one grade that is known
         only = int(present[0]) if len(present) else 0
@@ -79,7 +81,7 @@ def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, wid
     keep = place[cols] >= 0
     rows, cols = rows[keep], place[cols[keep]]
     w, base, steps = np.zeros(len(used)), np.array([0.0]), np.zeros(max(0, levels - 2))
-    share = np.array([np.clip((grades <= k).mean(), 0.01, 0.99) for k in range(levels - 1)])
+    share = np.array([np.clip(weight[grades <= k].sum(), 0.01, 0.99) for k in range(levels - 1)])
     start = np.maximum.accumulate(np.log(share / (1 - share)))
     base[0] = start[0]
     steps[:] = np.log(np.maximum(np.diff(start), 1e-2))
@@ -93,12 +95,12 @@ def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, wid
         a, b = 1 / (1 + np.exp(np.clip(s - high, -60, 60))), 1 / (1 + np.exp(np.clip(s - low, -60, 60)))  # P(<= grade), P(< grade)
         da, db = a * (1 - a), b * (1 - b)
         p = np.maximum(a - b, 1e-9)
-        ds = (da - db) / p / n  # of the negative log likelihood by s
+        ds = (da - db) / p * weight  # of the negative log likelihood by s
         gw = np.bincount(cols, ds[rows], len(w)) + penalty * w
         gc = np.zeros(levels - 1)
         up, down = grades < levels - 1, grades > 0
-        np.add.at(gc, grades[up], -(da / p / n)[up])
-        np.add.at(gc, grades[down] - 1, (db / p / n)[down])
+        np.add.at(gc, grades[up], -(da / p * weight)[up])
+        np.add.at(gc, grades[down] - 1, (db / p * weight)[down])
         tail = np.cumsum(gc[::-1])[::-1]
         gs = tail[1:] * np.exp(steps)
         for i, g in enumerate((gw, tail[:1], gs)):
@@ -110,10 +112,14 @@ def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, wid
     return Model(full, np.concatenate([base, base + np.cumsum(np.exp(steps))]))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the sampled texts (rows, cols, times) and their labels; at most `sample` labelled ids of each class reach the driver."""
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the sampled texts (rows, cols, times), their labels, and how many labelled ids of its class each stands for.
+
+    At most `sample` labelled ids of each class reach the driver.
+    """
     known = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     part = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in range(2)]
+    sizes_of = {r["label"]: r["count"] for r in known.where("label in (0, 1)").groupBy("label").count().collect()}
     chosen = F.broadcast(part[0].union(part[1]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("cols", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
@@ -129,7 +135,9 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bit
     got = texts.mapInArrow(run, "id long, label int, cols array<int>, times array<int>").dropDuplicates(["id"]).toArrow().sort_by("id").combine_chunks()
     flat = lambda c: pa.concat_arrays(got.column(c).chunks).flatten().to_numpy() if got.num_rows else np.zeros(0, np.int32)
     sizes = pa.compute.list_value_length(got.column("cols")).to_numpy().astype(np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), flat("cols"), flat("times"), got.column("label").to_numpy().astype(np.int64)
+    label = got.column("label").to_numpy().astype(np.int64)
+    share = np.array([max(1.0, sizes_of.get(k, 0) / max(1, sample)) for k in range(2)])
+    return np.repeat(np.arange(len(sizes)), sizes), flat("cols"), flat("times"), label, share[label]
 
 
 def graded(rows: np.ndarray, cols: np.ndarray, times: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
@@ -147,8 +155,8 @@ def graded(rows: np.ndarray, cols: np.ndarray, times: np.ndarray, label: np.ndar
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", bits: int = BITS, sample: int = SAMPLE) -> Model:
     """A model of three grades from binary labels. Conflicting labels of an id count as the larger; null labels and ids are left out."""
     plain = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    rows, cols, times, label = _sampled(docs, plain, id_col, text_col, bits, sample)
-    return fit(rows, cols, graded(rows, cols, times, label, 1 << bits), 3, 1 << bits)
+    rows, cols, times, label, counts = _sampled(docs, plain, id_col, text_col, bits, sample)
+    return fit(rows, cols, graded(rows, cols, times, label, 1 << bits), 3, 1 << bits, counts=counts)
 
 
 def _score(model, bits: int, threshold: float, act):

@@ -57,6 +57,22 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), one)).count() == 0
 
 
+def test_toxicity_chances_keep_the_class_shares_of_all_labels(spark):
+    """A tenth is toxic; the sample holds as many of each class. Marking words are in both, so chances are not all near 0 or 1."""
+    r = random.Random(3)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(150)]
+    rows = []
+    for i in range(3000):
+        bad = i % 10 == 0
+        mark = ["vile"] * (r.random() < (0.6 if bad else 0.15))
+        rows.append((i, " ".join([r.choice(plain) for _ in range(20)] + mark), int(bad)))
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    for sample in (3000, 300):
+        p = [x["p_any"] for x in toxicity.score(docs, toxicity.train(docs, labels, sample=sample)).collect()]
+        assert sum(p) / len(p) == pytest.approx(0.1, abs=0.03)
+
+
 def test_ordinal_gradient():
     """The fit's likelihood is at an optimum: moving a threshold or weight does not raise it."""
     r = np.random.default_rng(0)
