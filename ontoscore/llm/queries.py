@@ -95,7 +95,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which benchmark items are covered by tiles, with the items."""
     from ontoscore.llm.decontam import leaks
 
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_tiles", "matched_words", "item_words", "coverage")
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), whole_short=True).select("doc_id", "item_id", "n_tiles", "matched_words", "item_words", "coverage")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

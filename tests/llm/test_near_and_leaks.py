@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from ontoscore.llm import setsketch
-from ontoscore.llm.decontam import decontaminate, leaks, tiles
+from ontoscore.llm.decontam import Index, decontaminate, leaks, tiles
 from ontoscore.llm.graph import components
 from ontoscore.llm.setsketch import keep_one, likely, near_duplicates, registers
 
@@ -61,6 +61,22 @@ def test_near_duplicates(spark, seed, block):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, 80)
 
 
+def test_split_buckets_leaders_and_components(spark):
+    rows = family(5, 160)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, width=4, percent=80, block=9, part=6).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4, 80)
+
+
+def test_a_large_family_sends_each_set_a_few_times(spark):
+    """3,000 near copies of one text: one component, found by way of leaders, not by all pairs of blocks."""
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*base[: (k := r.randrange(140))], f"x{i}", *base[k + 1 :]])) for i in range(3000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4, part=200, block=400).collect()
+    assert {x["component_id"] for x in got} == {0} and sum(x["n_links"] for x in got) <= 4 * len(rows)
+
+
 def test_keep_one(spark):
     rows = family(3)
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string")
@@ -142,3 +158,30 @@ def test_leaks(spark):
         assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {12, 13, 14, 15}
     assert leaks(d.limit(0), b).count() == 0 and leaks(d, b.limit(0)).count() == 0
     assert decontaminate(d, b.limit(0)).count() == len(docs)
+
+
+def test_stretches_give_the_tiles_of_all_pairs():
+    r = random.Random(2)
+    for n in (25, 25, 25, 60) * 40:
+        letters = r.choice(["ab", "abc", "a"])
+        text, item = ([r.choice(letters) for _ in range(r.randint(3, n))] for _ in range(2))
+        pairs = [(p, t) for p in range(len(text) - 2) for t in range(len(item) - 2) if text[p : p + 3] == item[t : t + 3]]
+        index = Index([(1, " ".join(item))], 3)
+        found = [x for _, _, x in index.matches(np.frombuffer(" ".join(text).encode(), np.uint8), np.array([0, 2 * len(text) - 1]))]
+        assert (found[0] if found else []) == tiles(text, item, pairs, 3)
+
+
+def test_long_repeats_cost_their_stretches():
+    """A text and an item that repeat one phrase thousands of times: 60,000 diagonals, not a thousand million pairs of places."""
+    text, item = "red green blue " * 66_000, "red green blue " * 1_000 + "end"
+    (_, _, found), = Index([(1, item)], 5).matches(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert sum(n for _, _, n in found) == 3000
+
+
+def test_whole_short_items(spark):
+    d = spark.createDataFrame([(1, "Yes  indeed"), (2, "yes indeed so"), (3, None), (4, "yes indeed")], "doc_id long, text string")
+    b = spark.createDataFrame([(9, "yes indeed"), (8, "other words that are long enough to seed")], "item_id long, text string")
+    for block in (1 << 20, 20):
+        assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in leaks(d, b, block_bytes=block, whole_short=True).collect()} == {(1, 9, 1.0), (4, 9, 1.0)}
+        assert {r["doc_id"] for r in decontaminate(d, b, block_bytes=block, whole_short=True).collect()} == {2, 3}
+    assert leaks(d, b).count() == 0
