@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoscore.llm.common import PLAIN, chunks, record, text_buffer, words
+from ontoscore.llm.common import PLAIN, chunks, materialise, record, text_buffer, words
 
 BITS = 20
 #: Lengths of the word beginnings that are features too, in bytes; inflected words share them.
@@ -54,6 +54,17 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def packed(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """What scoring needs, without the zeros: a few thousand numbers."""
+        used = np.flatnonzero(self.weights)
+        return len(self.weights), used.astype(np.int32), self.weights[used], self.thresholds
+
+    @staticmethod
+    def unpacked(width: int, used: np.ndarray, values: np.ndarray, thresholds: np.ndarray) -> Model:
+        weights = np.zeros(width)
+        weights[used] = values
+        return Model(weights, thresholds)
+
     def chances(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ... by row."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -60, 60)))
@@ -112,10 +123,10 @@ def fit(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, levels: int, wid
     return Model(full, np.concatenate([base, base + np.cumsum(np.exp(steps))]))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of the sampled texts (rows, cols, times), their labels, and how many labelled ids of its class each stands for.
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bits: int, sample: int) -> tuple[DataFrame, np.ndarray]:
+    """(id, label, cols, times) of the sampled texts, in shared storage, and how many labelled ids a sampled one of each class stands for.
 
-    At most `sample` labelled ids of each class reach the driver.
+    At most `sample` labelled ids of each class are taken; their features stay on the executors.
     """
     known = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     part = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in range(2)]
@@ -127,65 +138,86 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            row, col, times = features(data, offsets, bits)
-            cut = np.searchsorted(row, np.arange(1, batch.num_rows))
-            yield record(schema, id=batch.column("id").to_pylist(), label=batch.column("label").to_pylist(), cols=[x.astype(np.int32) for x in np.split(col, cut)] if batch.num_rows else [], times=[x.astype(np.int32) for x in np.split(times, cut)] if batch.num_rows else [])
+            for i, j in chunks(offsets):
+                row, col, times = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits)
+                cut, part = np.searchsorted(row, np.arange(1, j - i)), batch.slice(i, j - i)
+                yield record(schema, id=part.column("id").to_pylist(), label=part.column("label").to_pylist(), cols=[x.astype(np.int32) for x in np.split(col, cut)], times=[x.astype(np.int32) for x in np.split(times, cut)])
 
     # repeated rows of one id: one of them stands for it
-    got = texts.mapInArrow(run, "id long, label int, cols array<int>, times array<int>").dropDuplicates(["id"]).toArrow().sort_by("id").combine_chunks()
-    flat = lambda c: pa.concat_arrays(got.column(c).chunks).flatten().to_numpy() if got.num_rows else np.zeros(0, np.int32)
-    sizes = pa.compute.list_value_length(got.column("cols")).to_numpy().astype(np.int64)
-    label = got.column("label").to_numpy().astype(np.int64)
+    sampled = texts.mapInArrow(run, "id long, label int, cols array<int>, times array<int>").dropDuplicates(["id"])
     share = np.array([max(1.0, sizes_of.get(k, 0) / max(1, sample)) for k in range(2)])
-    return np.repeat(np.arange(len(sizes)), sizes), flat("cols"), flat("times"), label, share[label]
+    return materialise(sampled, "sampled"), share
 
 
-def graded(rows: np.ndarray, cols: np.ndarray, times: np.ndarray, label: np.ndarray, width: int) -> np.ndarray:
-    """Grades 0, 1, 2 from binary labels: a labelled text is severe (2) if its words that mark the class occur more often than in the median one."""
-    if not len(label) or label.min() == label.max():
-        return label
-    n1, n0 = (label == 1).sum(), (label == 0).sum()
-    df1, df0 = np.bincount(cols[label[rows] == 1], minlength=width), np.bincount(cols[label[rows] == 0], minlength=width)
-    ratio = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
-    marks = (ratio > np.log(5)) & (df1 >= SUPPORT)
-    load = np.bincount(rows, times * marks[cols], len(label))
-    return np.where(label == 1, 1 + (load > np.median(load[label == 1])), 0)
+def _chosen(sampled: DataFrame, n1: int, n0: int) -> DataFrame:
+    """col, used, marks: the features that tell the classes apart, as fit() takes them (used), and those that mark the toxic class."""
+    of_class = lambda k: F.count_if(F.col("label") == k)
+    counts = sampled.select("label", F.explode("cols").alias("col")).groupBy("col").agg(of_class(1).alias("df1"), of_class(0).alias("df0"))
+    total, share = F.col("df1") + F.col("df0"), (F.col("df1") + F.col("df0")) / F.lit(float(n1 + n0))
+    error = F.sqrt(F.greatest(share * (1 - share) * F.lit(1 / n1 + 1 / n0), F.lit(1e-12)))
+    used = (total >= SUPPORT) & (F.abs(F.col("df1") / F.lit(float(n1)) - F.col("df0") / F.lit(float(n0))) >= EVIDENCE * error)
+    ratio = F.log((F.col("df1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("df0") + 0.5) / F.lit(n0 + 1.0))
+    marks = (ratio > float(np.log(5))) & (F.col("df1") >= SUPPORT)
+    return counts.select("col", used.alias("used"), marks.alias("marks")).where("used or marks")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", bits: int = BITS, sample: int = SAMPLE) -> Model:
-    """A model of three grades from binary labels. Conflicting labels of an id count as the larger; null labels and ids are left out."""
+    """A model of three grades from binary labels. Conflicting labels of an id count as the larger; null labels and ids are left out.
+
+    A labelled toxic text is severe (grade 2) if words that mark the class occur in it more often than in the median one. What tells
+    the classes apart is counted on the executors; the driver gets only those features of the sampled texts, however long they are.
+    """
     plain = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    rows, cols, times, label, counts = _sampled(docs, plain, id_col, text_col, bits, sample)
-    return fit(rows, cols, graded(rows, cols, times, label, 1 << bits), 3, 1 << bits, counts=counts)
+    sampled, share = _sampled(docs, plain, id_col, text_col, bits, sample)
+    sizes = {r["label"]: r["count"] for r in sampled.groupBy("label").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:  # nothing to tell apart
+        grades = np.full(n1 + n0, 1 if n1 else 0)
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), grades, 3, 1 << bits)
+    each = sampled.select("id", F.inline(F.arrays_zip("cols", "times"))).withColumnRenamed("cols", "col").join(F.broadcast(_chosen(sampled, n1, n0)), "col")
+    kept = each.groupBy("id").agg(F.sum(F.when(F.col("marks"), F.col("times")).otherwise(0)).alias("load"), F.sort_array(F.collect_list(F.when(F.col("used"), F.col("col")))).alias("cols"))
+    got = sampled.select("id", "label").join(kept, "id", "left").select("id", "label", F.coalesce("load", F.lit(0)).alias("load"), F.coalesce("cols", F.array().cast("array<int>")).alias("cols")).toArrow().sort_by("id").combine_chunks()
+    label, load = got.column("label").to_numpy().astype(np.int64), got.column("load").to_numpy()
+    lists = pa.concat_arrays(got.column("cols").chunks)
+    rows = np.repeat(np.arange(len(label), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
+    grades = np.where(label == 1, 1 + (load > np.median(load[label == 1])), 0)
+    return fit(rows, lists.flatten().to_numpy(), grades, 3, 1 << bits, counts=share[label])
 
 
 def _score(model, bits: int, threshold: float, act):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.unpacked(*model.value)
+        known = own.weights != 0
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            chance = np.zeros((batch.num_rows, len(model.value.thresholds)))
+            chance = np.zeros((batch.num_rows, len(own.thresholds)))
             for i, j in chunks(offsets):
-                row, col, _ = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits, model.value.weights != 0)
-                chance[i:j] = model.value.chances(model.value.scores(row, col, j - i))
+                row, col, _ = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], bits, known)
+                chance[i:j] = own.chances(own.scores(row, col, j - i))
             yield act(batch, chance, chance[:, 0] >= threshold)
 
     return run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, severity (expected grade), p_any, p_severe, toxic. A null text has no words; null ids stay null."""
+    """One row per row of docs: doc_id, severity (expected grade), p_any, p_severe, toxic. A null text has no words; null ids stay null.
+
+    Long texts are cut into words a MB at a time and scored whole; repeated rows are scored each; an empty table gives an empty result;
+    other columns are ignored.
+    """
     kind = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("p_any", pa.float64()), ("p_severe", pa.float64()), ("toxic", pa.bool_())])
 
     def act(batch: pa.RecordBatch, chance: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(chance.sum(1)), pa.array(chance[:, 0]), pa.array(chance[:, -1]), pa.array(toxic)], schema=kind)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), bits, threshold, act), "doc_id long, severity double, p_any double, p_severe double, toxic boolean")
+    return plain.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.packed()), bits, threshold, act), "doc_id long, severity double, p_any double, p_severe double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (a text column, all columns kept) that are not toxic."""
+    """The rows of docs that are not toxic, all columns kept whatever their names; rows with null or empty texts and null ids stay, repeated ones each."""
+
     def act(batch: pa.RecordBatch, chance: np.ndarray, toxic: np.ndarray) -> pa.RecordBatch:
         return batch.filter(pa.array(~toxic))
 
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), bits, threshold, act), docs.schema)
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.packed()), bits, threshold, act), docs.schema)
