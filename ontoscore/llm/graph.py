@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoscore.llm.common import checkpoint
+from ontoscore.llm.common import discard, materialise
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -14,15 +14,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    def written(x: DataFrame) -> DataFrame:
+        return materialise(x, "components")
+
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = mark(e)
+    if not before[0]:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = checkpoint(small)
+        last, e = e, written(small)
+        discard(last)
         if (now := mark(e)) == before:
             break
         before = now

@@ -3,10 +3,12 @@
 A document's set (word shingles, hashed to 64 bits) becomes M registers: the least of an exponential variate over the set, on a
 scale spaced by powers of B and truncated. Sketches of parts merge by maximum. Documents with equal sets are one node. Bands of
 registers bring nodes together; inside a bucket every node is compared with the few leaders that the bucket has so far, by the
-maximum-likelihood estimate of the Jaccard similarity from the numbers of larger, equal and smaller registers. Nodes near a leader
-form a family. As the Jaccard distance obeys the triangle inequality, two linked nodes of a bucket are always near one leader.
-Within each family links are confirmed on full sets, and components are read off the links. No pair of nodes is left out but those
-whose estimate lies far (over four standard errors) below the threshold or that are connected already.
+maximum-likelihood estimate of the Jaccard similarity from the numbers of larger, equal and smaller registers. A node and the leader
+it is closest to are confirmed on full sets, which connects most of what belongs together with one set sent for each node. What
+may still be linked lies in different components that are near a common leader (the Jaccard distance obeys the triangle inequality,
+so two linked nodes of a bucket always are): only nodes of such components are compared with each other, across components. No
+pair of nodes is left out but those whose estimate lies far (over four standard errors) below the threshold or that are connected
+already. Large buckets, leaders with many nodes and large components are split over tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontoscore.llm.common import chunks, gram_hash, materialise, mix, record, text_buffer, with_row_key, words
+from ontoscore.llm.common import chunks, discard, gram_hash, materialise, mix, record, text_buffer, with_row_key, words
 from ontoscore.llm.graph import components
 
 SHINGLE = 5
@@ -31,6 +33,10 @@ BAND = 4
 SLACK = 0.16
 #: Nodes of a family that one task holds; larger families are compared block by block.
 BLOCK = 4000
+#: Nodes of a bucket, and of a leader, that one task takes; more are split over several.
+PART = 2000
+#: Leaders that a node's set is compared with at first.
+TRIES = 2
 
 _SEED = mix(np.arange(1, 2 * M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLY, ADD = _SEED[:M] | np.uint64(1), _SEED[M:]
@@ -115,48 +121,107 @@ def _sketch(width: int):
     return run
 
 
+EDGES = "u long, v long, close boolean, bucket long"
+
+
+class Leaders:
+    """The leaders of a bucket, their registers in one growing matrix. Those that edges have joined are of one group."""
+
+    def __init__(self):
+        self.nodes: list[int] = []
+        self.group: list[int] = []
+        self.regs, self.sizes = np.empty((4, M), np.uint16), np.empty(4, np.int64)
+
+    def similar(self, regs: np.ndarray, n: int) -> np.ndarray:
+        k = len(self.nodes)
+        return likely(regs, n, self.regs[:k], self.sizes[:k])
+
+    def add(self, node: int, regs: np.ndarray, n: int, group: int) -> None:
+        k = len(self.nodes)
+        if k == len(self.sizes):
+            self.regs, self.sizes = np.concatenate([self.regs, np.empty_like(self.regs)]), np.concatenate([self.sizes, np.empty_like(self.sizes)])
+        self.regs[k], self.sizes[k] = regs, n
+        self.nodes.append(node)
+        self.group.append(group)
+
+
 def _families(percent: int):
-    """Rows sorted by bucket: edges that join each node with every leader of its bucket that it is near, none twice; a node that is plausible with none leads too.
+    """Rows sorted by bucket and salt, leaders of other parts (kind 0) first: edges that join each node with the leaders it is near.
 
-    A node is within 1 - plausible of its leader, a node linked to it within 1 - percent/100 of it, so within their sum of the leader.
+    The closest leader that a node is plausible with is marked; of leaders that edges have joined one gets an edge. A node that is
+    plausible with none leads too; leaders of buckets that are split are also told (v null). A node is within 1 - plausible of its
+    leader, a node linked to it within 1 - percent/100 of it, so within their sum of the leader.
     """
     plausible = percent / 100 - SLACK
     near = max(0.02, percent / 100 + plausible - 1 - SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, leaders, sketches, sizes, group = None, [], [], [], []
+        at, leaders, foreign = None, Leaders(), 0
         for batch in batches:
-            us, vs = [], []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "n", "regs")), strict=True):
-                key, node, n, regs = row
+            out: list[tuple] = []
+            for bucket, salt, kind, node, n, regs, split in zip(*(batch.column(c).to_pylist() for c in ("bucket", "salt", "kind", "node", "n", "regs", "split")), strict=True):
                 regs = np.frombuffer(regs, np.uint16)
-                if key != bucket:
-                    bucket, leaders, sketches, sizes, group = key, [], [], [], []
-                lead = True
-                if leaders:
-                    est = likely(regs, n, np.array(sketches), np.array(sizes))
-                    close = np.flatnonzero(est >= near).tolist()
-                    lead = est.max() < plausible
-                    mine = {group[k]: k for k in close}  # leaders that edges have joined already need one edge
-                    for k in mine.values():
-                        us.append(node)
-                        vs.append(leaders[k])
+                if (bucket, salt) != at:
+                    at, leaders, foreign = (bucket, salt), Leaders(), 0
+                if kind == 0:  # the node is compared with leaders of other parts; within its own part it has been
+                    leaders.add(node, regs, n, len(leaders.nodes))
+                    foreign += 1
+                    continue
+                est = leaders.similar(regs, n) if leaders.nodes else np.zeros(0)
+                mine: dict[int, int] = {}
+                if len(est):
+                    if foreign and node in leaders.nodes:
+                        est[leaders.nodes.index(node)] = -1.0
+                    best = int(est.argmax())
+                    for k in np.flatnonzero(est >= near).tolist():
+                        if k == best or leaders.group[k] != leaders.group[best]:
+                            mine.setdefault(leaders.group[k], k)
+                    out += [(node, leaders.nodes[k], k == best and est[k] >= plausible, None) for k in mine.values()]
                     if len(mine) > 1:
                         one = min(mine)
-                        group = [one if g in mine else g for g in group]
-                if lead:
-                    group.append(min(mine) if leaders and mine else len(leaders))
-                    leaders.append(node)
-                    sketches.append(regs)
-                    sizes.append(n)
+                        leaders.group = [one if g in mine else g for g in leaders.group]
+                if not foreign and (not len(est) or est.max() < plausible):
+                    leaders.add(node, regs, n, min(mine) if mine else len(leaders.nodes))
+                    if split:
+                        out.append((node, None, False, bucket))
+            if out:
+                u, v, close, buckets = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([bool(c) for c in close]), pa.array(buckets, pa.int64())], names=["u", "v", "close", "bucket"])
+
+    return run
+
+
+def _stars(percent: int):
+    """Rows sorted by leader and salt, the leader's set (kind 0) first: the nodes whose sets are similar to it, as links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
+        for batch in batches:
+            us, vs = [], []
+            for kind, v, node, items in zip(*(batch.column(c) for c in ("kind", "v", "node", "items")), strict=True):
+                items = np.frombuffer(items.as_buffer(), np.uint64)
+                if kind.as_py() == 0:
+                    own = items.copy()
+                    continue
+                if similar(own, items, percent):
+                    us.append(node.as_py())
+                    vs.append(v.as_py())
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of percent/100 or more."""
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _links(percent: int):
-    """Rows sorted by task: confirmed links that connect the nodes of a task."""
+    """Rows sorted by task: confirmed links that connect the nodes of a task that are of different components."""
     plausible = percent / 100 - SLACK
 
     def confirm(rows: list[dict]) -> list[tuple[int, int]]:
@@ -164,7 +229,7 @@ def _links(percent: int):
         sizes = np.array([len(s) for s in sets])
         sketches = np.array([np.frombuffer(r["regs"], np.uint16) for r in rows])
         side = np.array([r["side"] for r in rows])
-        root = np.arange(len(rows))
+        root = np.unique([r["comp"] for r in rows], return_inverse=True)[1]
         out = []
         for x in range(1, len(rows)):
             few = np.minimum(sizes[:x], sizes[x]) * 100 >= percent * np.maximum(sizes[:x], sizes[x])
@@ -177,10 +242,7 @@ def _links(percent: int):
             est = likely(sketches[x], int(sizes[x]), sketches[near], sizes[near])
             order = np.argsort(-est, kind="stable")
             for y in near[order[est[order] >= plausible]].tolist():
-                if root[y] == root[x]:
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (sizes[x] + sizes[y] - both):
+                if root[y] != root[x] and similar(sets[x], sets[y], percent):
                     out.append((rows[x]["node"], rows[y]["node"]))
                     root[root == root[x]] = root[y]
         return out
@@ -203,11 +265,14 @@ def _links(percent: int):
     return run
 
 
+ITEMS = "node long, regs binary, items binary"
+
+
 def _items(width: int):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = to_arrow_schema(StructType.fromDDL("node long, family long, part long, parts long, regs binary, items binary"))
+    schema = to_arrow_schema(StructType.fromDDL(ITEMS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,19 +280,84 @@ def _items(width: int):
             for i, j in chunks(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 part = batch.slice(i, j - i)
-                yield record(schema, items=[s.tobytes() for s in sets], **{c: part.column(c).to_pylist() for c in ("node", "family", "part", "parts", "regs")})
+                yield record(schema, items=[s.tobytes() for s in sets], **{c: part.column(c).to_pylist() for c in ("node", "regs")})
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def _edges(near: DataFrame, known: DataFrame, percent: int, part: int) -> DataFrame:
+    """near: node, bucket, c (nodes of the bucket). u, v, close: nodes and the leaders that they are near."""
+    parts = F.ceil(F.col("c") / part)
+    dealt = near.join(known.select("node", "n", "regs"), "node").withColumn("split", parts > 1).withColumn("salt", F.pmod(F.xxhash64("node", "bucket"), parts))
+
+    def led(rows: DataFrame) -> DataFrame:
+        rows = rows.select("bucket", "salt", "kind", "node", "n", "regs", "split")
+        return rows.repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "kind", "node").mapInArrow(_families(percent), EDGES)
+
+    first = materialise(led(dealt.withColumn("kind", F.lit(1))), "edges")
+    told = first.where("v is null").select(F.col("u").alias("node"), "bucket")
+    if told.isEmpty():
+        return first
+    # the leaders of the parts of a split bucket meet the nodes of all its parts
+    sizes = near.groupBy("bucket").agg(F.first("c").alias("c")).where(F.col("c") > part)
+    leaders = told.join(sizes, "bucket").join(known.select("node", "n", "regs"), "node").withColumn("split", F.lit(True)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    again = leaders.withColumn("kind", F.lit(0)).select("bucket", "salt", "kind", "node", "n", "regs", "split").union(dealt.where("split").withColumn("kind", F.lit(1)).select("bucket", "salt", "kind", "node", "n", "regs", "split"))
+    return materialise(first.where("v is not null").union(led(again)), "edges")
+
+
+def _tries(edges: DataFrame) -> DataFrame:
+    """Of each node's closest leaders (one in each of its buckets at most) the TRIES that most nodes have: what these don't connect is compared across components."""
+    close = edges.where("close").select("u", "v").distinct()
+    degree = close.groupBy("v").agg(F.count("*").alias("degree"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("degree")).alias("d"), "v"))), 1, TRIES)
+    return close.join(degree, "v").groupBy("u").agg(best.alias("best")).select("u", F.explode("best").alias("x")).select("u", "x.v")
+
+
+def _confirmed(pairs: DataFrame, items: DataFrame, percent: int, part: int) -> DataFrame:
+    """Of distinct pairs u, v those whose sets are similar: v's set is sent once for each `part` of its pairs, u's for each pair."""
+    degree = pairs.groupBy("v").agg(F.ceil(F.count("*") / part).alias("parts"))
+    sets = items.select("node", "items")
+    asked = pairs.join(degree, "v").select("v", F.pmod(F.xxhash64("u"), F.col("parts")).alias("salt"), F.lit(1).alias("kind"), F.col("u").alias("node")).join(sets, "node")
+    leaders = degree.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("v").alias("node")).join(sets, "node")
+    both = asked.select("v", "salt", "kind", "node", "items").union(leaders.select("v", "salt", "kind", "node", "items"))
+    return both.repartition("v", "salt").sortWithinPartitions("v", "salt", "kind").mapInArrow(_stars(percent), "u long, v long")
+
+
+def _across(edges: DataFrame, groups: DataFrame, items: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links between components of `groups` that edges say are near; None if there are none such. Large components meet others block by block, never themselves."""
+    nodes = items.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+    ends = edges.select("u", "v").distinct()
+    of = lambda c, name: nodes.select(F.col("node").alias(c), F.col("comp").alias(name))
+    open_ = ends.join(of("u", "a"), "u").join(of("v", "b"), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    family = components(open_).select(F.col("node").alias("comp"), F.col("component").alias("family"))
+    if family.isEmpty():
+        return None
+    placed = nodes.join(family, "comp")
+    sizes = placed.groupBy("family", "comp").agg(F.count("*").alias("n")).withColumn("owner", F.when(F.col("n") * 2 >= block, F.col("comp")))
+    shares = sizes.groupBy("family", "owner").agg(F.ceil(F.sum("n") / block).alias("parts"))
+    same = lambda a, b: (a["family"] == b["family"]) & a["owner"].eqNullSafe(b["owner"])
+    dealt = placed.join(sizes.drop("n"), ["family", "comp"])
+    dealt = dealt.join(shares, same(dealt, shares)).select("node", "comp", dealt["family"], dealt["owner"], F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+    # the blocks of a family; a block meets itself (side -1) and each other block (side: whether it is the first) but those of its own component
+    blocks = shares.select("family", "owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    blocks = blocks.groupBy("family").agg(F.collect_list(F.struct("owner", "part")).alias("blocks"))
+    key = lambda x: F.struct(F.coalesce(x["owner"], F.lit(-(1 << 63))).alias("o"), x["part"].alias("p"))
+    own = F.struct("owner", "part")
+    met = F.filter("blocks", lambda x: ~F.coalesce(x["owner"] == F.col("owner"), F.lit(False)))
+    pair = F.transform(met, lambda x: F.struct(F.xxhash64("family", F.least(key(own), key(x)), F.greatest(key(own), key(x))).alias("task"), F.when(key(own) == key(x), -1).when(key(own) > key(x), 0).otherwise(1).alias("side")))
+    tasks = dealt.join(blocks, "family").select("node", "comp", F.inline(pair)).join(items, "node").repartition("task").sortWithinPartitions("task", "node")
+    return tasks.mapInArrow(_links(percent), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK, part: int = PART) -> DataFrame:
     """One row per row of docs: doc_id, k1, k2 (a key of id and text), n_shingles, component_id, kept, n_links (of its node), component.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z in lower case. Documents whose sets of distinct `width`-word shingles have a Jaccard
-    similarity of percent/100 or more are linked; n_links counts the links that were needed to connect a node. component_id is the
-    least id reachable, component a name of the group (null: no words). A text with fewer words is one shingle; one without words (or null) is linked with nothing. A null id does
-    not count for component_id: a component of null ids has a null one, and its rows are kept. Repeated rows are in one component and
-    kept together. An empty table gives an empty result; other columns are ignored.
+    similarity of percent/100 or more are linked; n_links counts the links of a node that were confirmed on the way to its component,
+    which need not be all. component_id is the least id reachable, component a name of the group (null: no words). A text with fewer
+    words is one shingle; one without words (or null) is linked with nothing. A null id does not count for component_id: a component
+    of null ids has a null one, and its rows are kept. Repeated rows are in one component and kept together. Long texts are taken
+    whole: their sets are as long as they are. An empty table gives an empty result; other columns are ignored.
     """
     plain = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "text")
     sketches = materialise(plain.select("k1", "k2", "doc_id", "text").mapInArrow(_sketch(width), SKETCH), "sketches")
@@ -235,22 +365,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # bands; copies combine, buckets of one node go
     bands = [F.xxhash64(F.lit(i), F.substring("regs", 1 + 2 * BAND * i, 2 * BAND)) for i in range(M // BAND)]
     band = filled.select("node", F.explode(F.array(*bands)).alias("bucket")).distinct()
-    shared = band.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    shared = band.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     near = materialise(band.join(shared, "bucket"), "buckets")
     # one row for each node that shares a bucket: its least key finds its text and registers
     members = near.select("node").distinct()
-    chosen = filled.join(members, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
+    chosen = filled.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2").join(members, "node")
     known = materialise(filled.select("k1", "k2", "n", "regs").join(chosen, ["k1", "k2"]).dropDuplicates(["node"]), "nodes")
-    edges = near.join(known.select("node", "n", "regs"), "node").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_families(percent), "u long, v long")
-    family = materialise(components(edges).select("node", F.col("component").alias("family")), "families")
-    size = family.groupBy("family").agg(F.ceil(F.count("*") / block).alias("parts"))
-    placed = known.join(family, "node").join(size, "family").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    items = plain.select("k1", "k2", "text").join(placed, ["k1", "k2"]).dropDuplicates(["node"]).mapInArrow(_items(width), "node long, family long, part long, parts long, regs binary, items binary")
-    # a block meets itself (side -1) and each other block of its family (side: whether it is the first)
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.xxhash64("family", F.least("part", p), F.greatest("part", p)).alias("task"), F.when(p == F.col("part"), -1).when(p > F.col("part"), 0).otherwise(1).alias("side")))
-    tasks = items.select("node", "regs", "items", F.inline(pair)).repartition("task").sortWithinPartitions("task", "node")
-    links = materialise(tasks.mapInArrow(_links(percent), "u long, v long"), "links")
+    edges = _edges(near, known, percent, part)
+    ends = edges.where("v is not null").select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    items = materialise(plain.select("k1", "k2", "text").join(known.join(ends, "node"), ["k1", "k2"]).dropDuplicates(["node"]).mapInArrow(_items(width), ITEMS), "items")
+    links = materialise(_confirmed(_tries(edges), items, percent, part), "links")
     groups = components(links)
+    across = _across(edges.where("v is not null"), groups, items, percent, block)
+    if across is not None:
+        found = materialise(across, "links")
+        of = lambda c, name: found.join(groups.select(F.col("node").alias(c), F.col("component").alias("x")), c, "left").withColumn(name, F.coalesce("x", F.col(c))).drop("x")
+        joined = of("u", "a").join(of("v", "b"), ["u", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        joined = components(joined).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        every = groups.union(joined.select("old", "old")).distinct()
+        groups = every.join(joined, every["component"] == joined["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+        links = links.union(found)
+    discard(near, edges, items)
     least = filled.groupBy("node").agg(F.min("doc_id").alias("least"))
     own = least.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = own.groupBy("component").agg(F.min("least").alias("component_id"))
