@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,9 +14,25 @@ from pyspark.sql.types import StringType
 #: A word: letters, digits and underscores, with apostrophes and hyphens inside.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_’'-]*[\p{L}\p{N}_])?"
 ASCII_WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
-QUOTED = r"[\"“]([^\"“”]+)[\"”]"
-# Function words that a span may not begin or end with, and that do not count as content.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "their", "this", "to", "was", "were", "which", "with"]
+# Patterns and word lists that spans of evidence follow.
+QUOTED = r"[\"“”]([^\"“”]{2,140})[\"“”]"
+SENTENCE_END = r"[.;:\n]+"
+CLAUSE_END = r"(?i)[.;:\n]+|,\s+|—|–|\s+(?:where|while|because|which|so that|rather than|whereby)\s+"
+TAIL = r"[\s,;:.\-—–]+$"
+#: Words that do not count as content.
+STOPWORDS = """the a an and or but with from that this these those there where when while because rather it its their they of to in on as is are be by also
+how why what which who for at into than then so such both more most some any can may might would could should will shall not no nor only very much""".split()
+#: Words that a window may not begin or end with.
+EDGE_WORDS = "the a an and or but with from that this these those there where when while because rather it its their they of to in on as is are by also".split()
+#: Words that are cut off a span's beginning.
+LEAD_WORDS = "and but or the a an that which where while because of to in on as is are by also so then when this these those it its their they for with".split()
+GENERIC = r"(?i)^(the|this|that|its|their|his|her|an?)\s+\w+('s)?\s+(framing|perspective|approach|view|tone|response|construction|way|nature|thing|point)s?$"
+#: Stems of the domain's terms.
+DOMAIN = """class labor labour capital worker employee employer owner property production wage surplus value power control state law regulat institution ideolog
+market formal equal stakeholder symmetr conflict contradiction exploit rent housing vacan homeless ai algorithm management training policy deployment compute
+cloud chip supply imperial ghana automation productivity accumulation speculat commodif zoning gentrif displac scarcity efficien incentive price demand norm
+governance reform redistribut""".split()
+# End of fixed values.
 
 
 def words(text: Column) -> Column:
@@ -94,13 +110,19 @@ def chat_content(message: Column) -> Column:
     return F.when(F.schema_of_variant(F.try_variant_get(v, "$.content", "variant")).startswith("ARRAY"), joined).otherwise(whole)
 
 
+def listed(words_: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words_])
+
+
 def sentences(text: Column) -> Column:
     """Parts between .;: and line ends, trimmed, none empty."""
-    return F.filter(F.transform(F.split(text, r"[.;:\n]+"), stripped), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END), stripped), lambda x: x != "")
 
 
 def clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.;:,\n]+| (?:and|but|while|because|which) "), stripped), lambda x: x != "")
+    """Parts of sentences between commas, dashes and the words that join clauses, trimmed, none empty."""
+    parts = F.flatten(F.transform(sentences(text), lambda s: F.split(s, CLAUSE_END)))
+    return F.filter(F.transform(parts, stripped), lambda x: x != "")
 
 
 def quoted_phrases(text: Column) -> Column:
@@ -108,28 +130,51 @@ def quoted_phrases(text: Column) -> Column:
 
 
 def trimmed_span(span: Column) -> Column:
-    """Without leading function words and trailing punctuation."""
-    lead = r"(?i)^(?:(?:" + "|".join(STOPWORDS) + r")\s+)+"
-    return stripped(F.regexp_replace(F.regexp_replace(span, lead, ""), r"[\s,.;:!?\-]+$", ""))
+    """Without quotes around it, leading function words and trailing punctuation."""
+    lead = r"(?i)^(?:(?:" + "|".join(LEAD_WORDS) + r")\b[\s,]*)+"
+    plain = F.regexp_replace(stripped(span), "^[\"“”]+|[\"“”]+$", "")
+    return stripped(F.regexp_replace(F.regexp_replace(plain, lead, ""), TAIL, ""))
+
+
+def content(words_: Column) -> Column:
+    """Of some words, in lower case, those that are no function words."""
+    return F.filter(F.transform(words_, F.lower), lambda w: ~w.isin(STOPWORDS))
 
 
 def content_words(span: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.size(F.filter(F.regexp_extract_all(F.lower(span), F.lit(ASCII_WORD), F.lit(0)), lambda w: ~F.array_contains(stop, w)))
+    return F.size(content(F.regexp_extract_all(span, F.lit(ASCII_WORD), F.lit(0))))
 
 
 def ngrams(tokens: Column, low: int = 4, high: int = 14) -> Column:
-    """All stretches of low to high words that neither begin nor end with a function word."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
+    """All stretches of low to high words that neither begin nor end with a function word, joined by spaces."""
+    return _stretches(tokens, F.transform(tokens, lambda t: F.concat(t, F.lit(" "))), low, high)
+
+
+def windows(text: Column, low: int = 4, high: int = 14) -> Column:
+    """As ngrams over the words of a text, each with what stands between its words: substrings of the text."""
+    parts = F.struct(F.regexp_extract_all(text, F.lit(ASCII_WORD), F.lit(0)).alias("tokens"), F.split(text, ASCII_WORD, -1).alias("gaps"))
+    units = lambda x: F.zip_with(x["tokens"], F.slice(x["gaps"], 2, F.size(x["tokens"])), lambda a, b: F.concat(a, b))
+    both = let(parts, lambda x: F.struct(x["tokens"].alias("tokens"), units(x).alias("units")))
+    return let(both, lambda x: _stretches(x["tokens"], x["units"], low, high))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _stretches(tokens: Column, units: Column, low: int, high: int) -> Column:
+    """tokens: words; units: each with what follows it."""
+    edge = let(tokens, lambda t: F.transform(t, lambda w: F.lower(w).isin(EDGE_WORDS)))
 
-    def of(n: Column) -> Column:
-        last = F.size(tokens) - n
+    def of(x: Column, n: Column) -> Column:
+        last = F.size(x["t"]) - n
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.slice(tokens, i + 1, n))
+        good = F.filter(starts, lambda i: ~F.get(x["e"], i) & ~F.get(x["e"], i + n - 1))
+        return F.transform(good, lambda i: F.concat(F.array_join(F.slice(x["u"], i + 1, n - 1), ""), F.get(x["t"], i + n - 1)))
 
-    spans = F.flatten(F.transform(F.array(*[F.lit(n) for n in range(low, high + 1)]), of))
-    good = F.filter(spans, lambda s: ~F.array_contains(stop, F.lower(F.element_at(s, 1))) & ~F.array_contains(stop, F.lower(F.element_at(s, -1))))
-    return F.transform(good, lambda s: F.array_join(s, " "))
+    sizes = F.array(*[F.lit(n) for n in range(low, high + 1)])
+    return let(F.struct(tokens.alias("t"), units.alias("u"), edge.alias("e")), lambda x: F.flatten(F.transform(sizes, lambda n: of(x, n))))
 
 
 def cue_hits(text: Column, cues: Column) -> Column:

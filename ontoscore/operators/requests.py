@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,17 +103,115 @@ def with_schema(requests: DataFrame, least_union: int = 10, least_banks: int = 3
     return requests.select("custom_id", "features", "bank", "bank_sizes").mapInPandas(run, "custom_id string, schema_json string, schema_error string")
 
 
-def ask(requests: DataFrame, model: Callable[[str], str], concurrency: int = 4) -> DataFrame:
-    """requests: id, prompt. Calls the host's model on each, at most `concurrency` at a time: id, output, error."""
+def family_packets(families: DataFrame, targets: DataFrame, packets: DataFrame) -> DataFrame:
+    """The packets of each family's targets: item_family_id, factual_target_id, packet, error.
+
+    families: item_family_id; targets: item_family_id, factual_target_id (a registry); packets: factual_target_id, packet. A family
+    without targets and a target without a packet appear once each, with their error.
+    """
+    known = families.select("item_family_id").distinct().join(targets.select("item_family_id", "factual_target_id").distinct(), "item_family_id", "left")
+    found = known.join(packets.select("factual_target_id", "packet"), "factual_target_id", "left")
+    error = F.when(F.col("factual_target_id").isNull(), "family has no targets").when(F.col("packet").isNull(), "target has no packet")
+    return found.select("item_family_id", "factual_target_id", "packet", error.alias("error"))
+
+
+def compact_prompt(prompt: Column, blocks: dict[str, Column]) -> Column:
+    """A prompt with the text between each <name> and </name> replaced, trailing blanks cut and empty lines joined."""
+    for name, value in blocks.items():
+        kept = F.regexp_replace(F.coalesce(value, F.lit("")), r"([\\$])", r"\\$1")
+        prompt = F.regexp_replace(prompt, F.lit(f"(?s)<{name}>.*?</{name}>"), F.concat(F.lit(f"<{name}>\n"), kept, F.lit(f"\n</{name}>")))
+    return F.regexp_replace(F.regexp_replace(prompt, r"[ \t]+(?=\n|$)", ""), r"\n{3,}", "\n\n")
+
+
+@dataclass(frozen=True)
+class Retry:
+    """When a call is tried again. Waits are seconds: base * attempt, or base * 2 ** (attempt - 1) if doubling."""
+
+    attempts: int = 3
+    base: float = 2.0
+    doubling: bool = False
+    #: Only transport errors and statuses of 500 and more are tried again; else every failure is.
+    server_only: bool = False
+
+    def wait(self, attempt: int) -> float:
+        return self.base * (2 ** (attempt - 1) if self.doubling else attempt)
+
+    def again(self, error: Exception) -> bool:
+        status = getattr(error, "status", None)
+        return not self.server_only or isinstance(error, OSError) and status is None or (status is not None and status >= 500)
+
+
+class Truncated(Exception):
+    """The model stopped for want of room; its answer cannot be used."""
+
+
+#: The policies of the two kinds of call: to the judge, to the generator.
+JUDGE, GENERATOR = Retry(attempts=3, base=2.0), Retry(attempts=4, base=1.0, doubling=True, server_only=True)
+ASKED = "id string, output string, ok boolean, truncated boolean, attempts int, waited double, latency_ms long, error string"
+
+
+def ask(requests: DataFrame, model: Callable[..., str | tuple[str, str]], concurrency: int = 4, retry: Retry = Retry(attempts=1), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """requests: id, prompt. Calls the host's model on each, at most `concurrency` at a time: id, output, ok, truncated, attempts, waited, latency_ms, error.
+
+    The model takes a prompt and gives text, or text and a finish reason; 'length' is a failure (its text is kept). An exception is a
+    failure too; its `status`, where it has one, is that of HTTP. latency_ms is that of the last attempt.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, p in zip(b["id"], b["prompt"], strict=True):
-                try:
-                    rows.append((i, model(p), None))
-                except Exception as e:
-                    rows.append((i, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["id", "output", "error"])
+                waited, output, error, cut = 0.0, None, None, False
+                for attempt in range(1, retry.attempts + 1):
+                    began = time.perf_counter()
+                    try:
+                        got = model(p)
+                        output, reason = got if isinstance(got, tuple) else (got, "stop")
+                        cut = reason == "length"
+                        if cut:
+                            raise Truncated("the answer was cut off")
+                        error = None
+                    except Exception as e:
+                        error = e
+                    latency = milliseconds(time.perf_counter() - began)
+                    if error is None or attempt == retry.attempts or not retry.again(error):
+                        break
+                    waited += retry.wait(attempt)
+                    sleep(retry.wait(attempt))
+                rows.append((i, output, error is None, cut, attempt, waited, latency, None if error is None else f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["id", "output", "ok", "truncated", "attempts", "waited", "latency_ms", "error"])
+
+    return requests.select("id", "prompt").repartition(concurrency).mapInPandas(run, ASKED)
+
+
+def milliseconds(seconds: float) -> int:
+    return round(seconds * 1000)
+
 
-    return requests.select("id", "prompt").repartition(concurrency).mapInPandas(run, "id string, output string, error string")
+def latency(began: Column, ended: Column) -> Column:
+    """Milliseconds between two timestamps, rounded."""
+    return F.round((F.unix_micros(ended) - F.unix_micros(began)) / 1000).cast("long")
+
+
+def iso_utc(at: Column, micros: bool = False) -> Column:
+    """A timestamp as ISO 8601 in UTC, to the second or microsecond; the session's time zone is UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss" + (".SSSSSS" if micros else "") + "'Z'")
+
+
+def report_metrics(claims: DataFrame, relations: DataFrame, responses: DataFrame, banks: DataFrame, absent: list[str]) -> DataFrame:
+    """By response: n_claims, n_true, exact_ok, exact_bad (evidence in the response or not), fs_ok, fs_bad (in the feature's bank or not, accuracy apart), bad_causal, nonabsent.
+
+    claims: response_id, feature_id, feature_group, status, causal_role, evidence; banks: response_id, feature_id, bank.
+    """
+    x = claims.join(responses.select("response_id", "text"), "response_id", "left").join(banks.select("response_id", "feature_id", "bank"), ["response_id", "feature_id"], "left")
+    spans = F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda s: s != "")
+    good = F.size(F.filter(spans, lambda s: F.coalesce(F.contains(F.col("text"), s), F.lit(False))))
+    own = F.when(F.col("feature_group") == "accuracy", 0).otherwise(F.size(F.filter(spans, lambda s: F.coalesce(F.array_contains("bank", s), F.lit(False)))))
+    every = F.size(spans)
+    counted = x.groupBy("response_id").agg(
+        F.count("*").alias("n_claims"), F.count_if(F.col("status") == "true").alias("n_true"), F.sum(good).alias("exact_ok"), F.sum(every - good).alias("exact_bad"),
+        F.sum(own).alias("fs_ok"), F.sum(F.when(F.col("feature_group") == "accuracy", 0).otherwise(every - own)).alias("fs_bad"),
+        F.count_if((F.col("causal_role") == "cause") & ~F.col("status").eqNullSafe(F.lit("true"))).alias("bad_causal"),
+    )
+    there = relations.groupBy("response_id").agg(F.count_if(~F.col("relation_value").isin(absent)).alias("nonabsent"))
+    return counted.join(there, "response_id", "left").withColumn("nonabsent", F.coalesce("nonabsent", F.lit(0).cast("long")))

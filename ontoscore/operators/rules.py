@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoscore.fixed import CAUSAL_ROLES, DISPOSITIONS, EXEMPT_RELATION_VALUES, INFERENCES, JOINT, K, OUTPUT_KEYS, RELATIONS, RUBRIC_VERSION, SCHEMA_VERSION, STANCES, STATUSES
+from ontoscore.fixed import CAUSAL_ROLES, DISPOSITIONS, EXEMPT_RELATION_VALUES, INFERENCES, JOINT, K, MESSAGES, OUTPUT_KEYS, RELATIONS, RUBRIC_VERSION, SCHEMA_VERSION, STANCES, STATUSES
 
 COLUMNS = [*K, "key", "rule_id", "message"]
 
@@ -57,11 +57,11 @@ def missing_keys(exports: DataFrame, column: str = "raw_judge_output", keys: lis
 
 def enums(claims: DataFrame) -> DataFrame:
     bad = outside(F.col("status"), STATUSES) | outside(F.col("disposition"), DISPOSITIONS) | outside(F.col("stance"), STANCES) | outside(F.col("causal_role"), CAUSAL_ROLES)
-    return violation(claims.where(bad), "VAL3", F.col("feature_id"), "invalid claim enum")
+    return violation(claims.where(bad), "VAL3", F.col("feature_id"), MESSAGES["enum"])
 
 
 def joint_labels(claims: DataFrame) -> DataFrame:
-    return violation(claims.where(illegal_pair(F.col("status"), F.col("disposition"))), "VAL4", F.col("feature_id"), "invalid status/disposition pair")
+    return violation(claims.where(illegal_pair(F.col("status"), F.col("disposition"))), "VAL4", F.col("feature_id"), MESSAGES["joint"])
 
 
 def duplicates(df: DataFrame, keys: list[str], rule: str, message: str) -> DataFrame:
@@ -83,9 +83,9 @@ def against_opportunities(claims: DataFrame, opportunities: DataFrame) -> DataFr
     plan = opportunities.select("item_family_id", "rubric_version", "feature_id", F.col("opportunity_class").alias("planned"))
     x = claims.join(plan, ["item_family_id", "rubric_version", "feature_id"], "left")
     return union([
-        violation(x.where("planned IS NULL"), "VAL12", F.col("feature_id"), "claim lacks planned opportunity"),
-        violation(x.where("planned = 'inapplicable'"), "VAL12", F.col("feature_id"), "judge emitted claim for inapplicable feature"),
-        violation(x.where("planned <> 'inapplicable' AND NOT (planned <=> opportunity_class)"), "VAL12", F.col("feature_id"), "judge opportunity class differs from plan"),
+        violation(x.where("planned IS NULL"), "VAL12", F.col("feature_id"), MESSAGES["unplanned"]),
+        violation(x.where("planned = 'inapplicable'"), "VAL12", F.col("feature_id"), MESSAGES["inapplicable"]),
+        violation(x.where("planned <> 'inapplicable' AND NOT (planned <=> opportunity_class)"), "VAL12", F.col("feature_id"), MESSAGES["other_class"]),
     ])
 
 
@@ -93,7 +93,7 @@ def missing_observations(claims: DataFrame, index: DataFrame, opportunities: Dat
     """Planned features of an extraction that it has no claim for. index: the triple and item_family_id."""
     plan = opportunities.where((F.col("rubric_version") == RUBRIC_VERSION) & (F.col("opportunity_class") != "inapplicable")).select("item_family_id", "feature_id")
     expected = index.select(*K, "item_family_id").distinct().join(plan, "item_family_id").select(*K, "feature_id")
-    return violation(expected.join(claims.select(*K, "feature_id"), [*K, "feature_id"], "left_anti"), "VAL13", F.col("feature_id"), "missing planned claim observation")
+    return violation(expected.join(claims.select(*K, "feature_id"), [*K, "feature_id"], "left_anti"), "VAL13", F.col("feature_id"), MESSAGES["missing"])
 
 
 def unknown_responses(claims: DataFrame, index: DataFrame) -> DataFrame:
@@ -187,10 +187,10 @@ def adequate(facts: DataFrame, packets: DataFrame) -> DataFrame:
 
 def factual_gate(facts: DataFrame, claims: DataFrame, packets: DataFrame) -> DataFrame:
     x = adequate(facts, packets)
-    used = violation(x.where("NOT adequate AND NOT (status <=> 'not_assessable')"), "VAL15", F.col("factual_target_id"), "factual assessment used without an adequate source packet")
+    used = violation(x.where("NOT adequate AND NOT (status <=> 'not_assessable')"), "VAL15", F.col("factual_target_id"), MESSAGES["packet"])
     empirical = claims.where("feature_id = 'empirical_claims_supported' AND NOT (status <=> 'not_assessable')")
     bare = empirical.join(x.where("adequate").select(*K).distinct(), K, "left_anti")
-    return used.unionByName(violation(bare, "VAL16", F.col("feature_id"), "empirical_claims_supported assessable without source packet"))
+    return used.unionByName(violation(bare, "VAL16", F.col("feature_id"), MESSAGES["support"]))
 
 
 def verbatim(spans: DataFrame, texts: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -258,6 +258,39 @@ def attempt_chain(runs: DataFrame) -> DataFrame:
     return violation(runs.where((F.col("attempt_index") == 0) != F.col("retry_of").isNull()), "VAL41", F.col("run_id"), "attempt and retry do not agree")
 
 
+def complete_packets(packets: DataFrame) -> DataFrame:
+    """Packets that call themselves complete but lack sources or a reference answer. packets: factual_target_id, packet_status, sources, reference (JSON texts)."""
+    empty = lambda c: F.coalesce(F.regexp_replace(F.col(c), r"\s", ""), F.lit("null")).isin("{}", "[]", "null", "")
+    bad = (F.col("packet_status") == "complete") & (empty("sources") | empty("reference"))
+    return violation(packets.where(bad), "VAL41", F.col("factual_target_id"), "a complete packet lacks its contents")
+
+
+def negative(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with a number below 0 in one of the columns that count or measure; nulls are allowed."""
+    bad = F.coalesce(F.least(*[F.col(c).cast("double") for c in columns], F.lit(0.0)) < 0, F.lit(False))
+    return violation(rows.where(bad), "VAL41", F.col(key), "a count or measure is negative")
+
+
+def packet_evidence(facts: DataFrame, responses: DataFrame, packets: DataFrame) -> DataFrame:
+    """Facts that are assessed although their packet is not complete, and evidence that neither the response nor the packet holds.
+
+    facts: the triple, factual_target_id, status, evidence; responses: response_id, text; packets: factual_target_id, packet_status,
+    packet (JSON text).
+    """
+    x = facts.join(packets.select("factual_target_id", "packet_status", "packet"), "factual_target_id", "left").join(responses.select("response_id", "text"), "response_id", "left")
+    within = lambda c, s: F.coalesce(F.contains(F.col(c), s), F.lit(False))
+    stray = F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda s: (s != "") & ~within("text", s) & ~within("packet", s))
+    return union([
+        violation(x.where(~F.col("packet_status").eqNullSafe(F.lit("complete")) & ~F.col("status").eqNullSafe(F.lit("not_assessable"))), "VAL33", F.col("factual_target_id"), "assessed although its packet is not complete"),
+        violation(x.select("*", F.explode(stray).alias("span")), "VAL33", F.col("span"), "evidence is neither in the response nor in the packet"),
+    ])
+
+
+def first_errors(violations: DataFrame, limit: int = 100) -> DataFrame:
+    """The violations that a report shows: the first by rule and keys."""
+    return violations.orderBy("rule_id", *K, "key", "message").limit(limit)
+
+
 # ---------------------------------------------------------------- rows of runs
 
 

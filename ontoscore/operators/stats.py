@@ -138,3 +138,10 @@ def robustness(counts: DataFrame, minima: list[float]) -> DataFrame:
     each = counts.withColumn("minimum", F.explode(F.array(*[F.lit(float(m)) for m in minima])))
     value = F.when(assessable / planned >= F.col("minimum"), _d(F.col("true_n")) / F.nullif(assessable, F.lit(0.0)))
     return each.groupBy("feature_group", "opportunity_class", "minimum").agg(F.count(value).alias("n_scored"), F.avg(value).alias("mean_score"))
+
+
+def design_matrix(rows: DataFrame, outcome: str, factors: dict[str, list[str]], groups: list[str]) -> DataFrame:
+    """The rows of a mixed-effects model for a host's solver: groups, y, and a 0/1 column for each level of a factor but its first."""
+    of = lambda f, level: F.coalesce(F.col(f) == level, F.lit(False)).cast("int").alias(f"{f}_{level}")
+    columns = [of(f, level) for f, levels in factors.items() for level in levels[1:]]
+    return rows.where(F.col(outcome).isNotNull()).select(*groups, F.col(outcome).cast("double").alias("y"), F.lit(1).alias("intercept"), *columns)

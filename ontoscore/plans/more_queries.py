@@ -238,26 +238,39 @@ def extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.extension(F.col("url"), F.lit("text/html")).alias("ext"))
 
 
+CUES = {"one": ["the", "and"], "two": ["ouch"], "own": []}
+
+
 @query("q_DOM10")
 def banks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("response_id"), "text")
-    return evidence.build_banks(docs, {"one": ["the", "and"], "two": ["ouch"]}).select("response_id", "feature_id", F.size("bank").alias("n"))
+    """The banks of every document. The choice of different spans is greedy, so there is no SQL; it is tested against a brute-force version."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("response_id"), "text")
+    built = evidence.build_banks(docs, CUES, optional=("own",))
+    return built.select("response_id", "feature_id", F.size("bank").alias("n"), F.md5(F.array_join("bank", "|").cast("binary")).alias("h"))
 
 
-@query("q_H7", "SELECT page_id, a.h AS found, b.h AS recorded, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h IS NULL THEN 'gone' WHEN a.h = b.h THEN 'same' ELSE 'differs' END AS state FROM (SELECT page_id, sha256(html) AS h FROM pages WHERE page_id % 5 <> 0) a FULL JOIN (SELECT page_id, sha256(CASE WHEN page_id % 4 = 0 THEN url ELSE html END) AS h FROM pages WHERE page_id % 3 <> 0) b USING (page_id)")
+@query("q_H7", """SELECT page_id, a.h AS found, b.h AS recorded, CASE WHEN b.h IS NULL THEN 'new' WHEN a.h IS NULL THEN 'gone' WHEN a.h = b.h THEN 'same' ELSE 'differs' END AS state
+FROM (SELECT page_id, sha256(html) AS h FROM pages WHERE substr(md5(html), 1, 1) >= '2') a
+FULL JOIN (SELECT page_id, sha256(CASE WHEN substr(md5(html), 1, 1) >= 'c' THEN url ELSE html END) AS h FROM pages WHERE substr(md5(html), 1, 1) NOT IN ('2', '3')) b USING (page_id)""")
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    found = p.where("page_id % 5 <> 0").select("page_id", F.sha2("html", 256).alias("sha256"))
-    recorded = p.where("page_id % 3 <> 0").select("page_id", F.sha2(F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(F.col("html")), 256).alias("sha256"))
+    """Two snapshots: every page is in one at least, some are gone, new or changed in the other."""
+    p, d = table(spark, sf_dir, "pages"), F.substring(F.md5(F.col("html").cast("binary")), 1, 1)
+    found = p.where(d >= "2").select("page_id", F.sha2("html", 256).alias("sha256"))
+    recorded = p.where(~d.isin("2", "3")).select("page_id", F.sha2(F.when(d >= "c", F.col("url")).otherwise(F.col("html")), 256).alias("sha256"))
     return ident.compare_hashes(found, recorded, "page_id")
 
 
 # ---------------------------------------------------------------- requests and jobs
 
 
-@query("q_DOM12", "SELECT item_family_id, feature_id, opportunity_class, CAST(i AS INTEGER) AS i FROM (VALUES ('F', 'a', 'primary', 0), ('F', 'b', 'primary', 1), ('F', 'c', 'secondary_afforded', 2), ('F', 'd', 'monitor_only', 3)) t(item_family_id, feature_id, opportunity_class, i)")
+@query("q_DOM12", f"""{with_('opportunities')}, r AS (SELECT item_family_id, feature_id, opportunity_class, CASE opportunity_class WHEN 'primary' THEN 0 WHEN 'secondary_afforded' THEN 1 ELSE 2 END AS o FROM opportunities WHERE opportunity_class <> 'inapplicable')
+SELECT item_family_id, feature_id, opportunity_class, CAST(row_number() OVER (PARTITION BY item_family_id ORDER BY o, feature_id) - 1 AS INTEGER) AS i FROM r""")
 def packet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    families = spark.createDataFrame([("F", ["a", "b", "a"], ["b", "c"], ["c", "d", "a"])], "item_family_id string, primary array<string>, secondary array<string>, monitor array<string>")
+    """Every family's packet. The lists of weaker classes name the features of stronger ones again."""
+    o = view(spark, sf_dir, "opportunities")
+    of = lambda *classes: F.array_sort(F.collect_list(F.when(F.col("opportunity_class").isin(*classes), F.col("feature_id"))))
+    every = ("primary", "secondary_afforded", "monitor_only")
+    families = o.groupBy("item_family_id").agg(*[of(*every[: i + 1]).alias(c) for i, c in enumerate(("primary", "secondary", "monitor"))])
     return requests.packets(families).select("item_family_id", "feature_id", "opportunity_class", F.col("i").cast("int"))
 
 

@@ -431,12 +431,13 @@ def closed_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.closed_world(o.select("item_family_id"), view(spark, sf_dir, "features"), o.where("opportunity_class <> 'inapplicable'").select("item_family_id", "feature_id", "opportunity_class"))
 
 
-@query("q_VAL23", "SELECT concat('r', d.doc_id) AS response_id, CAST(b.item_id AS VARCHAR) AS key FROM documents d, benchmark b WHERE d.doc_id % 40 = b.item_id AND NOT contains(d.text, b.text)")
+@query("q_VAL23", "SELECT concat('r', d.doc_id) AS response_id, CAST(b.item_id AS VARCHAR) AS key FROM documents d, benchmark b WHERE d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id AND NOT contains(d.text, b.text)")
 def val23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is held to have quoted one benchmark item."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), "doc_id").alias("response_id"), "doc_id", "text")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
-    spans = docs.select("response_id", (F.col("doc_id") % 40).alias("item_id")).join(b, "item_id").select("response_id", F.col("item_id").alias("key"), "span")
+    n = b.agg(F.max("item_id") + 1).first()[0] or 1
+    spans = docs.select("response_id", (F.col("doc_id") % n).alias("item_id")).join(b, "item_id").select("response_id", F.col("item_id").alias("key"), "span")
     return rules.verbatim(spans, docs.select("response_id", "text")).select("response_id", "key")
 
 
@@ -520,7 +521,10 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ident.content_hash(F.col("lang"), F.col("source"), F.col("text")).alias("h"))
 
 
-@query("q_H1")
+H1_SQL = """SELECT doc_id, '{' || concat_ws(',', '"lang":' || CAST(to_json(lang) AS VARCHAR), '"n_chars":' || n_chars, '"source":' || CAST(to_json(source) AS VARCHAR)) || '}' AS canonical FROM documents"""
+
+
+@query("q_H1", H1_SQL)
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct("source", "lang", "n_chars")).alias("j"))
     return rows.select("doc_id", ident.canonical_json(F.col("j")).alias("canonical"))

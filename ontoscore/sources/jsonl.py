@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from ontoscore.functions.ident import canonical_json
+from ontoscore.functions.ident import canonical_json, compare_hashes
 from ontoscore.functions.text import file_class
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1), line of the non-blank lines of text files; a task numbers the lines of one file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    return lines.where(F.trim("line") != "").select("file", (F.col("pos") + 1).alias("line_no"), "line")
+    """file, line_no (from 1), line of the non-blank lines of text files.
+
+    Large files are read in splits: each split's lines are counted, and a line's number is its place in its split after the lines of
+    the splits before. Both scans cut the files alike, and a task's running ids tell the places.
+    """
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = at.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "block", (before - F.col("first")).alias("offset"))
+    lines = at.where(F.trim("line") != "").join(starts, ["file", "block"])
+    return lines.select("file", (F.col("id") + F.col("offset") + 1).cast("int").alias("line_no"), "line")
 
 
 def is_object(line: str = "line") -> Column:
@@ -65,3 +76,52 @@ def archive_plan(sources: DataFrame, existing: DataFrame, force: bool = False, d
     x = sources.join(existing.select("source_id").distinct().withColumn("there", F.lit(True)), "source_id", "left")
     status = F.when(F.lit(dry_run), "dry_run").when(F.col("there").isNotNull() & F.lit(not force), "existing").otherwise("pending")
     return x.withColumn("status", status).drop("there")
+
+
+FETCHED = "source_id string, url string, status string, archived_path string, source_sha256 string, bytes long, content_type string, final_url string, error string, attempts int"
+
+
+def archive(plan: DataFrame, fetch: Callable[[str], dict], attempts: int = 2) -> DataFrame:
+    """What became of each source of an archive_plan: status dry_run, existing, downloaded or error.
+
+    fetch is the host's: it takes an address, keeps the content where it likes and gives archived_path, source_sha256, bytes,
+    content_type and final_url. An exception is tried again, `attempts` times in all, then it is the source's error.
+    """
+    names = [f.split()[0] for f in FETCHED.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for source, url, status in zip(b["source_id"], b["url"], b["status"], strict=True):
+                row = dict.fromkeys(names) | {"source_id": source, "url": url, "status": status, "attempts": 0}
+                while status == "pending" and row["attempts"] < attempts and row["status"] != "downloaded":
+                    row["attempts"] += 1
+                    try:
+                        row |= fetch(url) | {"status": "downloaded", "error": None}
+                    except Exception as e:
+                        row |= {"status": "error", "error": f"{type(e).__name__}: {e}"}
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=names).astype({"bytes": "Int64"})
+
+    return plan.select("source_id", "url", "status").mapInPandas(run, FETCHED)
+
+
+def annotated(sources: DataFrame, results: DataFrame) -> DataFrame:
+    """sources (source_id, url, ...) with what an archive says of them: errors and plans are noted beside, downloads take the place of the address."""
+    r = results.select("source_id", *[F.col(c).alias(f"r_{c}") for c in ("url", "status", "archived_path", "source_sha256", "bytes", "content_type", "final_url", "error")])
+    x = sources.drop("download_error", "planned_url", "archived_path", "source_sha256", "bytes", "content_type", "final_url").join(r, "source_id", "left")
+    done = F.col("r_status").isNotNull() & ~F.col("r_status").isin("error", "dry_run")
+    take = lambda c: F.when(done, F.col(f"r_{c}")).alias(c)
+    moved = F.when(done & (F.col("r_final_url") != F.col("r_url")), F.col("r_final_url")).alias("final_url")
+    rest = [c for c in x.columns if c not in ("source_id", "url") and not c.startswith("r_")]
+    url = F.when(done, F.coalesce("r_url", "url")).otherwise(F.col("url")).alias("url")
+    return x.select(
+        "source_id", url, *rest, F.when(F.col("r_status") == "error", F.col("r_error")).alias("download_error"), F.when(F.col("r_status") == "dry_run", F.col("r_url")).alias("planned_url"),
+        take("archived_path"), take("source_sha256"), take("bytes"), take("content_type"), moved,
+    )
+
+
+def changed_files(spark: SparkSession, path: str, recorded: DataFrame) -> DataFrame:
+    """name, found, recorded, state: files below a folder against their recorded digests (name, sha256)."""
+    found = inventory(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return compare_hashes(found, recorded, "name")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import ontoscore.plans.more_queries  # noqa: F401
+import ontoscore.plans.operator_queries  # noqa: F401
 from ontoscore.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -83,6 +83,19 @@ def test_jsonl(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":null,"b":1}'
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    for f in ("a", "b"):
+        (tmp_path / f).write_text("".join(f"{f}{i}\n" if i % 7 else "\n" for i in range(1, 3000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = jsonl.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        assert {(r["line"], r["line_no"]) for r in lines.collect()} == {(f"{f}{i}", i) for f in "ab" for i in range(1, 3000) if i % 7}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_keyed_and_inventory(spark, tmp_path):
     (tmp_path / "k.json").write_text(json.dumps({"x": {"id": "x", "v": 1}, "y": {"id": "z", "v": 2}}))
     got = {r["key"]: r["key_matches"] for r in jsonl.read_keyed(spark, str(tmp_path / "k.json"), "struct<id:string,v:int>", "id").collect()}
