@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -131,9 +132,18 @@ def quoted_phrases(text: Column) -> Column:
 
 def trimmed_span(span: Column) -> Column:
     """Without quotes around it, leading function words and trailing punctuation."""
-    lead = r"(?i)^(?:(?:" + "|".join(LEAD_WORDS) + r")\b[\s,]*)+"
     plain = F.regexp_replace(stripped(span), "^[\"“”]+|[\"“”]+$", "")
-    return stripped(F.regexp_replace(F.regexp_replace(plain, lead, ""), TAIL, ""))
+    return stripped(F.regexp_replace(without_lead(plain), TAIL, ""))
+
+
+def without_lead(span: Column) -> Column:
+    """Without leading function words; enough for spans that begin and end with a word."""
+    return F.regexp_replace(span, r"(?i)^(?:(?:" + "|".join(LEAD_WORDS) + r")\b[\s,]*)+", "")
+
+
+def of_domain(low: Column) -> Column:
+    """Whether a text in lower case holds a stem of the domain."""
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(stem)) for stem in DOMAIN])
 
 
 def content(words_: Column) -> Column:
