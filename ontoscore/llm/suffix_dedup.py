@@ -22,10 +22,50 @@ LENGTH = 400
 GRAM = 64
 #: Bytes of segments that are sorted together; a group of one anchor is never split.
 BATCH = 1 << 20
+#: Suffixes with 16 bytes in common that are sorted by slices of their bytes; larger ties are ranked by further bytes.
+TIES = 4096
 
 
-def suffix_order(segments: list[bytes], starts: list[int], depth: int) -> tuple[bytes, list[int], np.ndarray]:
-    """Joined text, where each segment begins, and the places of the first starts[i] suffixes of every segment, sorted by `depth` bytes."""
+def words_at(text: bytes) -> np.ndarray:
+    """The 8 bytes from each place of a text as one big-endian number; what lies beyond its end counts as 0."""
+    data = np.frombuffer(text + bytes(8), np.uint8).astype(np.uint64)
+    out = np.zeros(len(text) + 1, np.uint64)
+    for i in range(8):
+        out = (out << np.uint64(8)) | data[i : len(text) + 1 + i]
+    return out
+
+
+def sort_places(text: bytes, eight: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Places sorted by the `depth` bytes from each. Ranks of 16 bytes first; what they leave tied is sorted by its bytes, large ties by the next 16."""
+    n = len(text)
+    eight_at = lambda p: eight[np.minimum(p, n)]
+    out, todo = places.copy(), [(0, len(places), 0)]
+    while todo:
+        lo, hi, off = todo.pop()
+        part = out[lo:hi]
+        a, b = eight_at(part + off), eight_at(part + off + 8)
+        order = np.lexsort((b, a))
+        part, a, b = part[order], a[order], b[order]
+        out[lo:hi] = part
+        off += 16
+        if off >= depth:
+            continue
+        edges = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [hi - lo]])
+        tied = np.flatnonzero(np.diff(edges) > 1)
+        for i, j in zip(edges[tied].tolist(), edges[tied + 1].tolist(), strict=True):
+            if j - i > TIES:
+                todo.append((lo + i, lo + j, off))
+            elif j - i == 2:
+                p, q = int(part[i]), int(part[i + 1])
+                if text[p + off : p + depth] > text[q + off : q + depth]:
+                    out[lo + i], out[lo + i + 1] = q, p
+            else:
+                out[lo + i : lo + j] = sorted(part[i:j].tolist(), key=lambda p: text[p + off : p + depth])
+    return out
+
+
+def suffix_order(segments: list[bytes], starts: list[int], depth: int) -> tuple[bytes, np.ndarray, list[int], np.ndarray]:
+    """Joined text, its bytes by eight, where each segment begins, and the places of the first starts[i] suffixes of every segment, sorted by `depth` bytes."""
     text = b"\x00".join(segments) + b"\x00"
     lengths = np.array([len(s) + 1 for s in segments])
     begin = np.concatenate([[0], np.cumsum(lengths)])
@@ -42,15 +82,15 @@ def suffix_order(segments: list[bytes], starts: list[int], depth: int) -> tuple[
     smaller = sign[decided] > 0  # type B
     # wanted suffixes, and after the last of each segment the chain up to the next type B
     after = np.minimum.accumulate(np.where(smaller, np.arange(n), n - 1)[::-1])[::-1]
-    edge = np.zeros(n + 1, np.int64)
+    edge = np.zeros(n + 1, np.int32)
     count = np.asarray(starts)
     has = count > 0
     np.add.at(edge, begin[:-1][has], 1)
     np.add.at(edge, after[begin[:-1][has] + count[has] - 1] + 1, -1)
     needed = np.cumsum(edge[:-1]) > 0
-    direct = np.flatnonzero(needed & smaller).tolist()
-    direct.sort(key=lambda p: text[p : p + depth])
-    direct = np.array(direct, np.int64)
+    del decided, after, edge, sign
+    eight = words_at(text)
+    direct = sort_places(text, eight, np.flatnonzero(needed & smaller), depth)
     heads = x[direct]
     order_b = np.argsort(heads, kind="stable")  # separators hold byte 0 in the text but sort before all
     direct = direct[order_b]
@@ -88,16 +128,30 @@ def suffix_order(segments: list[bytes], starts: list[int], depth: int) -> tuple[
     inside = np.zeros(n + 1, np.int64)
     np.add.at(inside, begin[:-1], 1)
     np.add.at(inside, begin[:-1] + count, -1)
-    return text, begin.tolist(), order[np.cumsum(inside[:-1])[order] > 0]
+    return text, eight, begin.tolist(), order[np.cumsum(inside[:-1])[order] > 0]
+
+
+def common_prefixes(eight: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Bytes, up to `length`, that each place in the order has in common with the next one; eight bytes are compared at a time."""
+    p, q = order[:-1], order[1:]
+    out, open_ = np.zeros(len(p), np.int64), np.arange(len(p))
+    for off in range(0, length, 8):
+        differ = eight[p[open_] + off] ^ eight[q[open_] + off]
+        ended = differ != 0
+        at, bits = open_[ended], differ[ended]
+        # equal bytes before the highest one that differs
+        out[at] = off + np.sum([bits < (np.uint64(1) << np.uint64(64 - 8 * k)) for k in range(1, 8)], axis=0)
+        open_ = open_[~ended]
+        out[open_] = off + 8
+    return np.minimum(out, length)
 
 
 def repeats(segments: list[bytes], starts: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For each segment, spans (first, count) of those of its first starts[i] strings of `length` bytes that occur twice among all of them."""
-    text, begin, order = suffix_order(segments, starts, length)
-    places = order.tolist()
-    same = np.fromiter((text[p : p + length] == text[q : q + length] for p, q in zip(places, places[1:], strict=False)), bool, max(0, len(places) - 1))
+    text, eight, begin, order = suffix_order(segments, starts, length)
     hit = np.zeros(len(text) + 1, bool)
-    if len(same):
+    if len(order) > 1:
+        same = common_prefixes(eight, order, length) >= length
         hit[order[:-1][same]] = True
         hit[order[1:][same]] = True
     edges = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
@@ -116,7 +170,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text is empty; a null id is a document of its own; repeated rows are copies of each other, so what they hold of `length`
     bytes or more goes from all of them. Strings are judged on the input. kept is the remaining text, without characters of which
-    a part went. Other columns of docs don't matter, whatever their names. An empty table gives an empty result.
+    a part went. A long text is looked at whole, in parts of a MB that overlap. Other columns of docs don't matter, whatever their
+    names. An empty table gives an empty result.
     """
     unit = Unit("byte", length, min(GRAM, length))
     docs, segments = candidates(keyed(docs, id_col, text_col, with_rest), unit, by_document=False)

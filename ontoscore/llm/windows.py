@@ -26,8 +26,8 @@ PART = 1 << 20
 #: Windows of a run in one row.
 MOST = 8192
 PIECE = 8
-#: An anchor with more runs than this is hot; the segments of so many make a few MB.
-HOT = 4000
+#: An anchor with more runs, or more units in them, than this is hot; so one task sorts some MB for an anchor at most.
+HOT, HOT_UNITS = 4000, 4 << 20
 
 RUNS = "k1 long, k2 long, id long, h long, s0 int, n int, a int, c int"
 #: kind 0: places of a run (h, run) in documents; 1: pieces (g, fp), of which a run that isn't hot is one; 2: pieces of a hot run.
@@ -39,6 +39,7 @@ class Unit:
 
     def __init__(self, name: str, window: int, k: int):
         self.name, self.window, self.k = name, window, k
+        self.bytes = 1 if name == "byte" else 6  # about
 
     def hashes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Values to hash, the first unit of each row (len + 1), and starts and ends of the units in data (None: bytes)."""
@@ -221,7 +222,8 @@ def candidates(docs: DataFrame, unit: Unit, by_document: bool) -> tuple[DataFram
     """
     runs = materialise(docs.select("k1", "k2", "id", "text").mapInArrow(_find(unit), RUNS), "runs")
     again = F.min("id") < F.max("id") if by_document else F.sum("c") >= 2
-    known = runs.groupBy("h").agg(again.alias("again"), F.count("*").alias("runs_n")).where("again").select("h", (F.col("runs_n") > HOT).alias("hot"))
+    known = runs.groupBy("h").agg(again.alias("again"), F.count("*").alias("runs_n"), F.sum(F.col("n").cast("long") + unit.window).alias("units")).where("again")
+    known = known.select("h", ((F.col("runs_n") > HOT) | (F.col("units") > HOT_UNITS // unit.bytes)).alias("hot"))
     wanted = runs.join(known, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "s0", "n", "a", "hot")).alias("runs"))
     cut = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "id", "text", "runs")
     return docs, materialise(cut.mapInArrow(_cut(unit), SEGMENTS), "segments")
