@@ -1,10 +1,10 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
 The earliest documents that hold a passage form the reference blocks, one for each group of segments that share an anchor
-(windows.py). Every later segment is parsed greedily against its block: at each place the longest factor found in the indexed
-reference is taken, else one literal word. Factors of `window` words or more are duplicate spans, and the windows that cross the
-ends of factors are looked up one by one, as a repeat may begin inside one factor and end in the next. What the reference lacks is
-appended to it.
+(windows.py). A block is indexed by its phrases of GRAM words. Every later segment is parsed greedily against its block: at each
+place the longest factor that the block holds is taken (of GRAM words or more), else one literal word. Factors of `window` words or
+more are duplicate spans. Windows that cross the end of a factor, short ones too, are looked up one by one, as a repeat may begin
+inside one factor and end in the next. What the block lacks is appended to it.
 """
 
 from __future__ import annotations
@@ -23,50 +23,78 @@ GRAM = 16
 BATCH = 1 << 20
 
 
+def extended(a: list[bytes], x: int, b: list[bytes], y: int, n: int) -> int:
+    """How many words two lists have in common from places x and y on, n at least; stretches are compared that grow, then shrink."""
+    most, step, growing = min(len(a) - x, len(b) - y), 16, True
+    while n < most:
+        m = min(step, most - n)
+        if a[x + n : x + n + m] == b[y + n : y + n + m]:
+            n += m
+            step = step * 2 if growing else step
+        elif m == 1:
+            break
+        else:
+            growing, step = False, m // 2
+    return n
+
+
 class Reference:
-    """An indexed reference block: phrases of words, and where each window of them starts."""
+    """An indexed reference block: phrases of words, where each gram of them starts, and their windows."""
 
     def __init__(self, window: int):
-        self.window = window
+        self.window, self.gram = window, min(GRAM, window)
         self.phrases: list[list[bytes]] = []
-        self.index: dict[bytes, tuple[int, int]] = {}
+        self.index: dict[bytes, int | list[int]] = {}  # phrase and place in it as one number, or several
+        self.windows: set[bytes] = set()
 
-    def factor(self, words: list[bytes], key: bytes, i: int) -> int:
-        """Words of the longest factor at i whose first window is `key`; 0 if the block lacks it."""
-        place = self.index.get(key)
-        if place is None:
+    def factor(self, words: list[bytes], keys: list[bytes], i: int) -> int:
+        """Words of the longest factor at i; 0 if the block lacks even the gram there."""
+        places = self.index.get(keys[i]) if i < len(keys) else None
+        if places is None:
             return 0
-        phrase, at = self.phrases[place[0]], place[1] + self.window
-        j = i + self.window
-        while at < len(phrase) and j < len(words) and phrase[at] == words[j]:
-            at += 1
-            j += 1
-        return j - i
-
-    def append(self, words: list[bytes], keys: list[bytes], spans: list[tuple[int, int]]) -> None:
+        longest = 0
+        for place in places if isinstance(places, list) else (places,):
+            phrase, at = self.phrases[place >> 32], place & 0xFFFFFFFF
+            n = self.gram
+            if longest:  # a place must hold the next word to be better
+                n = longest + 1
+                if at + n > len(phrase) or phrase[at + longest] != words[i + longest] or phrase[at + self.gram : at + longest] != words[i + self.gram : i + longest]:
+                    continue
+            longest = extended(phrase, at, words, i, n)
+            if i + longest == len(words):
+                break
+        return longest
+
+    def append(self, words: list[bytes], keys: list[bytes], windows: list[bytes], spans: list[tuple[int, int]]) -> None:
         """Adds the phrases whose windows start in the given spans."""
         for s, n in spans:
+            p = len(self.phrases) << 32
             self.phrases.append(words[s : s + n + self.window - 1])
-            p = len(self.phrases) - 1
-            for i in range(n):
-                self.index.setdefault(keys[s + i], (p, i))
+            self.windows.update(windows[s : s + n])
+            for i in range(n + self.window - self.gram):
+                held = self.index.setdefault(keys[s + i], p + i)
+                if isinstance(held, list):
+                    held.append(p + i)
+                elif held != p + i:
+                    self.index[keys[s + i]] = [held, p + i]
 
 
-def parse(words: list[bytes], keys: list[bytes], n: int, block: Reference) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Greedy parse of the first n windows: spans (first, count) of windows the block holds, and of those it lacks."""
+def parse(words: list[bytes], keys: list[bytes], windows: list[bytes], block: Reference) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Greedy parse of a segment (keys: its grams): spans (first, count) of windows the block holds, and of those it lacks."""
     found: list[tuple[int, int]] = []
-    i, W, crossed = 0, block.window, -1
+    i, n, W, crossed = 0, len(windows), block.window, -1
     while i < n:
-        length = block.factor(words, keys[i], i)
+        length = block.factor(words, keys, i)
         if not length:
             i += 1
             continue
-        found.append((i, length - W + 1))
+        if length >= W:
+            found.append((i, length - W + 1))
         end = i + length
-        for s in range(i + length - W + 1, min(end, n)):  # windows that cross the factor's end
-            if s > crossed and keys[s] in block.index:
+        for s in range(max(i + 1, end - W + 1, crossed + 1), min(end, n)):  # windows that cross the factor's end
+            if windows[s] in block.windows:
                 found.append((s, 1))
-            crossed = max(crossed, s)
+        crossed = max(crossed, min(end, n) - 1)
         i = end
     spans: list[list[int]] = []
     for s, m in sorted(found):
@@ -106,9 +134,10 @@ def parse_group(group: list[dict], window: int) -> list[list[tuple[int, int]]]:
                 at += len(w) + 1
                 ends.append(at)
             seg = r["seg"]
-            keys = [seg[(ends[j - 1] if j else 0) : ends[j + window - 1] - 1] for j in range(r["n"])]
-            out[i], lacking = parse(words, keys, r["n"], block)
-            waiting.append((words, keys, lacking))
+            cut = lambda size, count: [seg[(ends[j - 1] if j else 0) : ends[j + size - 1] - 1] for j in range(count)]  # noqa: B023, E731
+            keys, held = cut(block.gram, len(words) - block.gram + 1), cut(window, r["n"])
+            out[i], lacking = parse(words, keys, held, block)
+            waiting.append((words, keys, held, lacking))
     return out
 
 
@@ -120,7 +149,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Removes each word covered by `window` consecutive words that also start in a document with a smaller id; judged on the input. A
     null text has no words. A null id is larger than all others, and rows with a null id are one document in this. Repeated rows
-    have one id and do not count against each other. An empty table gives an empty result; other columns are ignored.
+    have one id and do not count against each other. A long text is looked at whole, in parts that overlap. An empty table gives an
+    empty result; other columns are ignored.
     """
     docs, segments = candidates(keyed(docs, id_col, text_col), Unit("word", window, min(GRAM, window)), by_document=True)
     found = resolved(segments, lambda group: parse_group(group, window), BATCH)
