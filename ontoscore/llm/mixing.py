@@ -16,42 +16,61 @@ from pyspark.sql.window import Window
 BLOCK = 8
 #: Rows that one window partition should have; hot sources are split by leading hex digits of the shuffle key.
 ROWS = 50_000
+#: Slots of the schedule that one array gathers before it is put to the others.
+CHUNK = 1000
 
 
 def period(sources: DataFrame) -> DataFrame:
     """sources: source, weight (positive integers). Returns source, weight, total, turn (0 to weight - 1), slot, release, deadline.
 
-    One period of the schedule. Ties go to the smaller source; a null source comes first. Sources with weights are configuration: they
-    are few, so one row holds them all.
+    One period of the schedule. Ties go to the smaller source; a null source comes first. Sources of one weight have equal windows, so
+    they take turns in order, and the choice of a slot is among the distinct weights, however many sources there are. One row holds a
+    number for each source and slot of the period; slots are gathered CHUNK at a time, so the work is linear in them.
     """
-    one = sources.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", F.col("weight").cast("long").alias("weight")))).alias("s"), F.sum("weight").cast("long").alias("total")).where("total > 0")
-
-    def step(acc: Column, t: Column) -> Column:
+    plain = sources.select("source", F.col("weight").cast("long").alias("weight"))
+    # members of each class in order, with their places among all sources, which decide ties
+    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_first())).cast("long")
+    member = (F.row_number().over(Window.partitionBy("weight").orderBy(F.col("source").asc_nulls_first())) - 1).cast("long")
+    members = plain.withColumn("place", place).withColumn("member", member)
+    classes = members.groupBy("weight").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+    one = classes.groupBy().agg(F.sort_array(F.collect_list(F.struct("weight", "n", "places"))).alias("c"), F.sum(F.col("weight") * F.col("n")).cast("long").alias("total")).where("total > 0")
+
+    def step(given: Column, t: Column) -> Column:
         def due(i: Column) -> Column:
-            w, k = F.get(F.col("s"), i)["weight"], F.get(acc["given"], i)
-            total = F.col("total")
-            # a released block: its deadline and place; others: null
-            return F.when(F.floor(k * total / w) <= t, F.struct(F.ceil((k + 1) * total / w).alias("deadline"), i.alias("i")))
+            x, total = F.get(F.col("c"), i), F.col("total")
+            a = F.get(given, i)
+            k = F.floor(a / x["n"])
+            # a released block: its deadline and its source's place; others: null
+            return F.when(F.floor(k * total / x["weight"]) <= t, F.struct(F.ceil((k + 1) * total / x["weight"]).alias("deadline"), F.get(x["places"], (a % x["n"]).cast("int")).alias("place"), i.alias("i")))
+
+        return F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.size("c") - 1), due), lambda x: x.isNotNull()))["i"]
 
-        best = F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.size("s") - 1), due), lambda x: x.isNotNull()))["i"]
-        # one expression for the choice, so that it is not worked out again for every source
+    def slot(acc: Column, t: Column) -> Column:
+        # one expression for the choice, so that it is not worked out again for every class
         return F.element_at(
             F.transform(
-                F.array(best),
+                F.array(step(acc["given"], t)),
                 lambda b: F.struct(
                     F.transform(acc["given"], lambda k, i: k + F.when(i == b, F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("given"),
-                    F.concat(acc["order"], F.array(b)).alias("order"),
+                    F.concat(acc["order"], F.array(F.struct(b.alias("i"), F.get(acc["given"], b).alias("a")))).alias("order"),
                 ),
             ),
             1,
         )
 
-    start = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("given"), F.array().cast("array<int>").alias("order"))
-    order = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("total") - 1), start, step, lambda acc: acc["order"])
-    slots = one.select("s", "total", F.posexplode(order).alias("slot", "i"))
-    slots = slots.select(F.col("slot").cast("long"), "total", F.get("s", F.col("i"))["source"].alias("source"), F.get("s", F.col("i"))["weight"].alias("weight"))
-    turn = (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).cast("long")
-    slots = slots.withColumn("turn", turn)
+    none = F.array().cast("array<struct<i:int,a:bigint>>")
+
+    def chunk(acc: Column, j: Column) -> Column:
+        steps = F.sequence(j * CHUNK, F.least((j + 1) * CHUNK, F.col("total")) - 1)
+        got = F.aggregate(steps, F.struct(acc["given"].alias("given"), none.alias("order")), slot)
+        return F.element_at(F.transform(F.array(got), lambda g: F.struct(g["given"].alias("given"), F.concat(acc["chunks"], F.array(g["order"])).alias("chunks"))), 1)
+
+    start = F.struct(F.transform("c", lambda x: F.lit(0).cast("long")).alias("given"), F.array().cast("array<array<struct<i:int,a:bigint>>>").alias("chunks"))
+    chunks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / CHUNK)), start, chunk, lambda acc: acc["chunks"])
+    dealt = one.select("c", "total", F.posexplode(chunks).alias("j", "part")).select("c", "total", "j", F.posexplode("part").alias("at", "x"))
+    own = F.get("c", F.col("x.i"))
+    slots = dealt.select((F.col("j").cast("long") * CHUNK + F.col("at")).alias("slot"), "total", own["weight"].alias("of"), (F.col("x.a") % own["n"]).alias("m"), F.floor(F.col("x.a") / own["n"]).alias("turn"))
+    slots = slots.join(members, (F.col("of") == F.col("weight")) & (F.col("m") == F.col("member"))).select("source", "weight", "total", "turn", "slot")
     return slots.withColumn("release", F.floor(F.col("turn") * F.col("total") / F.col("weight"))).withColumn("deadline", F.ceil((F.col("turn") + 1) * F.col("total") / F.col("weight")))
 
 
@@ -79,7 +98,7 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, id_col: str
     weights: positive integers by source; other sources, the null one too, get `default`. Every row is kept. position orders all rows
     by slot, then rank in the block. in_ratio: the slot comes before any source has run out, so shares hold up to there; later the
     slots of exhausted sources stay empty. Rows with equal ids and null ids are ordered by their other columns; rows that are equal
-    in all are interchangeable. Columns of docs with a name used here give way to the schedule's.
+    in all are interchangeable. Long texts move with their rows and are not looked at. An empty table gives an empty result. Columns of docs with a name used here give way to the schedule's.
     """
     made = ["source_block", "slot", "release", "deadline", "position", "in_ratio"]
     docs = docs.drop(*[c for c in docs.columns if c in made])
