@@ -27,10 +27,16 @@ ROWS = 16384
 
 
 def integers(col: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as double; null where the vector is null or empty or holds a null or non-finite component."""
+    """floor(scale * x) of each component as double; null where the vector is null or empty or holds a null or non-finite component.
+
+    Integers beyond a bound count as the bound, so that no sum of products leaves 64 bits: 2**28 up to 64 components, 2**25 up to
+    4096, 2**15 beyond.
+    """
     d = F.transform(col, lambda x: x.cast("double"))
     bad = F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(F.coalesce(F.size(col), F.lit(0)) > 0, F.when(~F.coalesce(bad, F.lit(True)), F.transform(d, lambda x: F.floor(x * float(scale)).cast("long"))))
+    most = F.when(F.size(col) <= 64, 2.0**28).when(F.size(col) <= 4096, 2.0**25).otherwise(2.0**15)
+    whole = lambda x: F.greatest(-most, F.least(most, F.floor(F.greatest(-most, F.least(most, x * float(scale)))).cast("double"))).cast("long")
+    return F.when(F.coalesce(F.size(col), F.lit(0)) > 0, F.when(~F.coalesce(bad, F.lit(True)), F.transform(d, whole)))
 
 
 def add(columns: list[list[np.ndarray]], words: int) -> list[np.ndarray]:
@@ -189,6 +195,8 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     Components are floor(scale * x). Vectors that are null or empty or hold null or non-finite components take no part, nor do rows
     with null ids; only vectors of one length are compared. A query's own id is no candidate; a repeated id is one query for each
     different vector, and rows that repeat an id rank side by side. Ties go to the smaller id. Fewer candidates than k give fewer rows.
+    Very large components are bounded (integers). An empty table gives an empty result; other columns are ignored. Each query is sent
+    to each block of `rows` rows, so queries times rows / 16384 vectors move.
     """
     table = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where("v is not null")
     n = table.count()
