@@ -50,15 +50,18 @@ def levels(calls: DataFrame) -> DataFrame:
     Pointer doubling: every round doubles the distance of the known ancestor, so a chain of n calls takes log2(n) rounds.
     """
     ids = calls.select(F.col("id").alias("known"))
-    at = calls.select("id", "parent").join(ids, F.col("parent") == F.col("known"), "left").select("id", F.col("known").alias("ancestor"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    at = materialise(at, "levels")
+    # calls that name no parent are done at once and meet in no task
+    done = calls.where("parent is null").select("id", F.lit(None).cast("string").alias("ancestor"), F.lit(0).cast("long").alias("steps"))
+    first = calls.where("parent is not null").select("id", "parent").join(ids, F.col("parent") == F.col("known"), "left")
+    at = materialise(first.select("id", F.col("known").alias("ancestor"), F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("steps")), "levels")
     rounds = max(1, at.count()).bit_length() + 1
     for _ in range(rounds):
-        if at.where("ancestor is not null").isEmpty():
+        done, at = done.unionByName(at.where("ancestor is null")), at.where("ancestor is not null")
+        if at.isEmpty():
             break
-        up = at.select(F.col("id").alias("up_id"), F.col("ancestor").alias("up_ancestor"), F.col("steps").alias("up_steps"))
+        up = done.unionByName(at).select(F.col("id").alias("up_id"), F.col("ancestor").alias("up_ancestor"), F.col("steps").alias("up_steps"))
         at = materialise(at.join(up, F.col("ancestor") == F.col("up_id"), "left").select("id", F.col("up_ancestor").alias("ancestor"), (F.col("steps") + F.coalesce("up_steps", F.lit(0))).alias("steps")), "levels")
-    return at.select("id", F.when(F.col("ancestor").isNull(), F.col("steps")).otherwise(F.lit(-1)).alias("level"))
+    return done.unionByName(at).select("id", F.when(F.col("ancestor").isNull(), F.col("steps")).otherwise(F.lit(-1)).alias("level"))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -68,13 +71,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     n_results, json. status: ok, invalid (arguments), unanswered, orphan (a result without a call), cycle. Of several results for an
     id the first by seq, then content, is linked; n_results counts all. Rows that repeat an id are all kept and linked alike; their
     parent is the least one given. A null id is linked with nothing; a result with a null id is an orphan each. Arguments that are
-    not JSON appear as null. Other columns are ignored.
+    not JSON appear as null. Long contents stay whole. Empty tables give an empty result. Other columns are ignored.
     """
     calls, results = calls.select("conv_id", "id", "parent", "tool", "arguments"), results.select("id", "seq", "content")
     answer = results.where("id is not null").groupBy("id").agg(F.min(F.struct("seq", "content")).alias("first"), F.count("*").alias("n_results")).select(F.col("id").alias("result_id"), F.col("first.content").alias("content"), "n_results")
     distinct = calls.where("id is not null").groupBy("id").agg(F.min("parent").alias("parent"))
     level = levels(distinct).select(F.col("id").alias("level_id"), "level")
-    joined = calls.join(answer, F.col("id") == F.col("result_id"), "full").join(level, F.coalesce("id", "result_id") == F.col("level_id"), "left")
+    named = calls.where("id is not null").join(answer, F.col("id") == F.col("result_id"), "full").join(level, F.coalesce("id", "result_id") == F.col("level_id"), "left")
+    joined = named.unionByName(calls.where("id is null"), allowMissingColumns=True)  # nameless calls meet in no task
     joined = joined.withColumn("own", F.col("result_id").isNull() | F.col("id").isNotNull())
     wrong = F.when(F.col("own"), problems(F.col("tool"), F.col("arguments"), schemas)).otherwise(F.array().cast("array<string>"))
     orphans = results.where("id is null").select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("long").alias("level"), F.lit("orphan").alias("status"), F.array().cast("array<string>").alias("problems"), F.lit(1).cast("long").alias("n_results"), _json(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("content")).alias("json"))
