@@ -165,6 +165,34 @@ def test_mixing_deviates_by_less_than_one_block(spark):
             assert abs(given[s] - (r["slot"] + 1) * w / 13) < 1
 
 
+def edf(weights):
+    """Earliest deadline first over one period, source by source; ties to the smaller source, null first."""
+    names = sorted(weights, key=lambda s: (s is not None, s))
+    total, given, out = sum(weights.values()), dict.fromkeys(names, 0), []
+    for t in range(total):
+        free = [(-(-(given[s] + 1) * total // weights[s]), i) for i, s in enumerate(names) if given[s] * total // weights[s] <= t]
+        s = names[min(free)[1]]
+        out.append((t, s, given[s], given[s] * total // weights[s], min(free)[0]))
+        given[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1000, 7])
+def test_period_is_earliest_deadline_first(spark, monkeypatch, chunk):
+    from ontoscore.llm import mixing
+
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    for weights in ({"a": 3, "b": 3, None: 1, "c": 3, "d": 2, "e": 1}, {"x": 1}, {f"s{i}": 4 for i in range(9)} | {"t": 7}):
+        rows = period(spark.createDataFrame(list(weights.items()), "source string, weight int")).collect()
+        assert sorted((r["slot"], r["source"], r["turn"], r["release"], r["deadline"]) for r in rows) == edf(weights)
+
+
+def test_many_sources(spark):
+    src = spark.range(20_000).selectExpr("concat('s', id) AS source", "CASE WHEN id = 0 THEN 24 ELSE 4 END AS weight")
+    r = period(src).agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.count_if(~F.col("slot").between(F.col("release"), F.col("deadline") - 1)).alias("late")).first()
+    assert (r["n"], r["slots"], r["late"]) == (80_020, 80_020, 0)
+
+
 def test_mix_keeps_every_row(spark):
     rows = [(i, f"t{i}", "hot" if i % 3 else f"s{i % 5}", i) for i in range(300)] + [(None, None, None, 1), (7, "t7", "hot", 7), (7, "t7", "hot", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot int")
@@ -207,6 +235,27 @@ def test_archive_round_trip(spark, tmp_path):
     assert Counter((r["header"], bytes(r["payload"]).decode()) for r in again) == Counter((r["header"], "" if "Type: revisit" in r["header"] else r["payload"]) for r in records)
 
 
+def test_record_ids_are_unique(spark, tmp_path):
+    path = str(tmp_path / "a")
+    rows = [(1, "u", "x")] * 3 + [(1, "v", "x"), (1, None, "x"), (None, "u", "x"), (2, "u", "y" * 2000), (3, "u", "y" * 2000), (3, "u", "y" * 2000)]
+    write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    headers = [r["header"] for r in read_records(spark, path).collect()]
+    ids = {line for h in headers for line in h.split("\r\n") if line.startswith("WARC-Record-ID")}
+    assert len(headers) == len(rows) == len(ids)
+    refers = [line.split(": ")[1] for h in headers for line in h.split("\r\n") if line.startswith("WARC-Refers-To: ")]
+    assert len(refers) == 1 and f"WARC-Record-ID: {refers[0]}" in ids
+
+
+def test_archive_detects_changed_headers(spark, tmp_path):
+    for old, new in (("Content-Length: 7", "Content-Length: 8"), ("sha1:", "sha1:0")):
+        path = str(tmp_path / new[:4])
+        write_archive(spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string"), path)
+        bad = [(r["header"].replace(old, new), r["sha256"]) for r in spark.read.parquet(path + "/headers").collect()]
+        spark.createDataFrame(bad, "header string, sha256 string").write.mode("overwrite").parquet(path + "/headers")
+        with pytest.raises(Exception, match="differs from its header"):
+            read_index(spark, path).collect()
+
+
 def test_archive_detects_changed_payloads(spark, tmp_path):
     path = str(tmp_path / "a")
     write_archive(spark.createDataFrame([(1, "u", "payload")], "page_id long, url string, html string"), path)
@@ -256,6 +305,13 @@ def test_search(spark):
     assert search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_very_large_components_are_bounded(spark):
+    df = spark.createDataFrame([(0, [0.5, 1e20]), (1, [1.0, -1e300]), (2, [1.0, 1e15]), (3, [0.5, 2.0**20])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in sorted(search(df, F.col("vec_id") == 0).collect(), key=lambda r: r["rank"])]
+    top = 2**28
+    assert got == [(2, 128 * 256 + top * top), (3, 128 * 128 + top * top), (1, 128 * 256 - top * top)]
+
+
 # ---------------------------------------------------------------- chat
 
 SCHEMAS = {"add": {"a": ("integer", True), "b": ("number", False)}}

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,3 +166,34 @@ def test_factors_cover_what_earlier_segments_hold(docs):
         earlier = {tuple(x[i : i + window]) for e, x in docs if e < d for i in range(len(x) - window + 1)}
         want = {i for i in range(len(w) - window + 1) if tuple(w[i : i + window]) in earlier}
         assert {i for a, m in spans for i in range(a, a + m)} == want
+
+
+@given(st.lists(st.text(alphabet="ab\x00", max_size=60), min_size=1, max_size=6), st.sampled_from([1, 7, 16, 17, 40]), st.sampled_from([2, 4096]))
+@settings(max_examples=80, deadline=None)
+def test_sorting_and_common_prefixes(parts, depth, ties):
+    data = "ab".join(parts).encode() * 2
+    before, suffix_dedup.TIES = suffix_dedup.TIES, ties
+    try:
+        eight = suffix_dedup.words_at(data)
+        order = suffix_dedup.sort_places(data, eight, np.arange(len(data)), depth)
+    finally:
+        suffix_dedup.TIES = before
+    assert sorted(order.tolist()) == list(range(len(data)))
+    padded = data + bytes(64)
+    keys = [padded[p : p + depth] for p in order]
+    assert keys == sorted(keys)
+    places = np.array([p for p in order.tolist() if p + depth <= len(data)], np.int64)
+    if len(places) > 1:
+        got = suffix_dedup.common_prefixes(suffix_dedup.words_at(padded), places, depth)
+        for p, q, n in zip(places[:-1].tolist(), places[1:].tolist(), got.tolist(), strict=True):
+            assert n == next((i for i in range(depth) if padded[p + i] != padded[q + i]), depth)
+
+
+@pytest.mark.parametrize("units", [1, 200])
+def test_anchors_with_many_bytes_are_cut(spark, monkeypatch, units):
+    monkeypatch.setattr(windows, "HOT_UNITS", units)
+    rows = texts(9)
+    got = remove_repeats(table(spark, rows), length=30).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_bytes(rows, 30)
+    got = remove_passages(table(spark, rows), window=9).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_words(rows, 9)
