@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ontoscore.llm.common import flat_schema, materialise, mix, text_buffer, words
 
 #: Bytes of text in a block, n-grams in a part.
-BLOCK_BYTES, PART_KEYS = 8 << 20, 1 << 20
+BLOCK_BYTES, PART_KEYS = 6 << 20, 3 << 18
 FOLDS, HELD_OUT, TUNING = 5, 1, 0
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LEVELS = (1, 2)
