@@ -120,12 +120,10 @@ def test_lm(spark, block, part):
     got = lm.score(df, block_bytes=block, part_keys=part).collect()
     texts = [(d, ["<s>", *((t or "").lower().split()), "</s>"]) for d, t in rows]
     fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5
-    uni, big, ctx = Counter(), Counter(), Counter()
+    uni = Counter()
     for d, w in texts:
         if fold(d) != 1:
             uni.update(w[1:])
-            big.update(zip(w, w[1:], strict=False))
-            ctx.update(w[:-1])
     n, v = sum(uni.values()), len(uni)
     want = []
     for d, w in texts:
@@ -134,11 +132,80 @@ def test_lm(spark, block, part):
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-    # the mixture of one text, with some weight for each context
-    r = next(r for r in got if r["n_tokens"] > 30)
-    w = next(w for d, w in texts if str(d) == str(r["doc_id"]))
-    bound = [sum(math.log10(max((1 - x) * (uni[b] + 0.5) / (n + 0.5 * (v + 1)) + x * big[a, b] / max(ctx[a], 1), 1e-300)) for a, b in zip(w, w[1:], strict=False)) for x in (0.0, 1.0)]
-    assert r["score"] >= min(bound)
+
+
+def plain_scores(rows, order, weights=None):
+    """Deleted interpolation with dictionaries: (scores by row, weights by level and bucket); weights None: learned by EM, token by token."""
+    texts = [(d, ["<s>", *((t or "").lower().split()), "</s>"]) for d, t in rows]
+    fold = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5
+    bucket = lambda c: int(math.log2(c + 1))
+
+    def model(folds):
+        count = Counter()
+        for d, w in texts:
+            if fold(d) in folds:
+                for n in range(1, order + 1):
+                    count.update(tuple(w[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(w)))
+                count[("<s>",)] += 1
+        total = sum(c for g, c in count.items() if len(g) == 1 and g != ("<s>",))
+        types = sum(len(g) == 1 and g != ("<s>",) for g in count)
+        return count, total, types
+
+    def chance(m, w, i, weights):
+        count, total, types = m
+        p = (count[(w[i],)] + 0.5) / (total + 0.5 * (types + 1))
+        for n, by_bucket in enumerate(weights, 2):
+            if i >= n - 1 and (c := count[tuple(w[i - n + 1 : i])]):
+                x = by_bucket.get(bucket(c), by_bucket[max((b for b in by_bucket if b < bucket(c)), default=0)])
+                p = x * count[tuple(w[i - n + 1 : i + 1])] / c + (1 - x) * p
+        return p
+
+    if weights is None:
+        weights, m = [], model({2, 3, 4})
+        for n in range(2, order + 1):
+            seen = {}
+            for w in (w for d, w in texts if fold(d) == 0):
+                for i in range(n - 1, len(w)):
+                    if c := m[0][tuple(w[i - n + 1 : i])]:
+                        seen.setdefault(bucket(c), []).append((m[0][tuple(w[i - n + 1 : i + 1])] / c, chance(m, w, i, weights)))
+            by_bucket = {0: 0.0}
+            for b, pairs in seen.items():
+                x = 0.5
+                for _ in range(100):
+                    x = sum(x * p / (x * p + (1 - x) * q) for p, q in pairs) / len(pairs)
+                by_bucket[b] = min(max(x, 1e-6), 1 - 1e-6)
+            weights.append(by_bucket)
+    m = model({0, 2, 3, 4})
+    return [sum(math.log10(chance(m, w, i, weights)) for i in range(1, len(w))) for _, w in texts], weights
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize(("block", "part"), [(1 << 20, 1 << 20), (700, 64)])
+def test_lm_mixture(spark, monkeypatch, order, block, part):
+    rows = lm_rows(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    learned, learn = [], lm.learn
+    monkeypatch.setattr(lm, "learn", lambda cells: learned.append(learn(cells)) or learned[-1])
+    got = lm.score(df, block_bytes=block, part_keys=part, order=order).collect()
+    # with the weights that the operator learned, token by token
+    want, _ = plain_scores(rows, order, [dict(enumerate(w)) for w in learned])
+    assert sorted([(r["doc_id"], round(r["score"], 6)) for r in got], key=key) == sorted([(d, round(s, 6)) for (d, _), s in zip(rows, want, strict=True)], key=key)
+    # these weights are those of EM on the tokens themselves, but for the bins
+    assert len(learned) == order - 1
+    for mine, plain in zip(learned, plain_scores(rows, order)[1], strict=True):
+        for b, x in plain.items():
+            assert abs(mine[b] - x) < 0.03
+
+
+def test_lm_without_tuning_or_training_rows(spark):
+    by_fold = {f: [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == f][:6] for f in range(5)}
+    for folds in ([1], [0], [2, 3], [0, 1]):
+        rows = [(i, "a b a b c a b") for f in folds for i in by_fold[f]] + [(by_fold[folds[0]][0], "")]
+        got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and all(math.isfinite(r["score"]) for r in got)
+        if folds == [1]:
+            assert all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in got)
 
 
 def test_lm_probabilities_sum_to_less_than_one(spark):
