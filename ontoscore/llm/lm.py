@@ -58,12 +58,14 @@ def grams(t: np.ndarray, at: np.ndarray, order: int, bits: int) -> Iterator[tupl
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, which leaves the high ones to the shuffle's compression."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """How many numbers, then planes of their bytes: random low ones, compressible high ones."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    planes = pa.decompress(memoryview(data)[8:], 8 * int.from_bytes(data[:8], "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 #: counts: of a tuning block all its tokens, of another one those that are not held out; kept (without the tuning fold) answers tuning blocks.
