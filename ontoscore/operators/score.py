@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoscore.fixed import AI_FLAG, CHAIN_WEIGHTS, COHERENCE, DIMENSIONS, FACT_VALUES, GROUPS, RATES, RELATIONS, SEVERE, K
+from ontoscore.fixed import AI_FLAG, CHAIN_WEIGHTS, COHERENCE, DIMENSIONS, FACT_VALUES, GROUPS, RATES, RELATIONS, SEVERE, STATUSES, K
 
 MINIMUM = 0.80
+#: The relations that the wide table reports.
+REPORTED = ["causal_chain_structure", "recuperative_closure", "strategy_implication"]
 
 
 def mapped(col: Column, values: dict[str, float]) -> Column:
@@ -22,6 +24,18 @@ def mapped(col: Column, values: dict[str, float]) -> Column:
     return out
 
 
+def code(col: Column, values: list[str]) -> Column:
+    """The place of a category among the sorted values; null for any other. Numbers let an aggregation hash where strings make it sort."""
+    out = F.when(F.lit(False), F.lit(0))
+    for i, v in enumerate(sorted(values)):
+        out = out.when(col == v, F.lit(i))
+    return out
+
+
+def decoded(col: Column, values: list[str]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in sorted(values)]), col)
+
+
 def ratio(a: Column, b: Column) -> Column:
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
 
@@ -128,7 +142,8 @@ def response_metrics(claims: DataFrame, relations: DataFrame, facts: DataFrame,
     """One wide row per extraction.
 
     anchor 'recognition' keeps extractions with a planned recognition feature only, and leaves rates and flags null where they have no
-    observations; otherwise every extraction with a planned feature of any dimension is kept, with rates 0 and flags false.
+    observations; otherwise every extraction with a planned feature of any dimension is kept, with rates 0 and flags false. Of several
+    values for one feature or relation the first in the alphabet counts; values outside the fixed lists are no values (the rules report them).
     """
     seen = observations(claims, relations, facts)
     aggs: list[Column] = []
@@ -138,8 +153,8 @@ def response_metrics(claims: DataFrame, relations: DataFrame, facts: DataFrame,
         conditions = {"planned_n": own, "assessable_n": own & status.isin("true", "false"), "true_n": own & (status == "true"), "unclear_n": own & (status == "unclear"), "not_assessable_n": own & (status == "not_assessable")}
         aggs += [F.count_if(c).alias(f"{p}_{n}") for n, c in conditions.items()]
     accuracy = (kind == "claim") & (F.col("feature_group") == "accuracy")
-    aggs += [F.min(F.when(accuracy & (name == f), status)).alias(f) for f in GROUPS["accuracy"]]
-    aggs += [F.min(F.when((kind == "relation") & (name == t), status)).alias(f"_{t}") for t in RELATIONS]
+    aggs += [F.min(F.when(accuracy & (name == f), code(status, STATUSES))).alias(f) for f in GROUPS["accuracy"]]
+    aggs += [F.min(F.when((kind == "relation") & (name == t), code(status, RELATIONS[t]))).alias(f"_{t}") for t in REPORTED]
     value = F.when(accuracy, mapped(status, {"true": 1, "false": 0})).when(kind == "fact", mapped(status, FACT_VALUES))
     aggs += [F.avg(value).alias("accuracy"), F.count(value).alias("accuracy_assessable_n")]
     aggs.append(F.count_if(accuracy | (kind == "fact")).alias("_pooled_n"))
@@ -150,6 +165,7 @@ def response_metrics(claims: DataFrame, relations: DataFrame, facts: DataFrame,
     aggs.append(F.count_if(monitored).alias("_monitored_n"))
     aggs += [F.bool_or(monitored & (name == f) & F.col("qualified")).alias(f"_{f}") for f in SEVERE]
     wide = seen.groupBy(*K).agg(*aggs)
+    wide = wide.withColumns({f: decoded(F.col(f), STATUSES) for f in GROUPS["accuracy"]} | {f"_{t}": decoded(F.col(f"_{t}"), RELATIONS[t]) for t in REPORTED})
     some = " OR ".join(f"{p}_planned_n > 0" for p in (["recognition"] if anchor else DIMENSIONS))
     wide = wide.where(some).join(authoritative.select(*K, "relevance", "format_compliant", "within_response_budget", "response_complete", "refusal", "truncated", "parse_status", "alternative_causal_frame"), K, "left")
     out: list[Column] = [F.col(k) for k in K]

@@ -9,7 +9,7 @@ from ontoscore.fixed import CELL_DIMENSIONS, EXEMPT_RELATION_VALUES, GROUPS, K,
 from ontoscore.functions import ident, text
 from ontoscore.operators import assess, effects, evidence, flatten, requests, rules, score, stats, swarm
 from ontoscore.plans.overlay import with_
-from ontoscore.plans.queries import BASE, JOBS, KEYS, LABELS, _labels, _over_metrics, _requests, _rule, bent, exports_of, metrics_of, query, r9, sql9, table, view
+from ontoscore.plans.queries import BASE, JOBS, KEYS, LABELS, _labels, _over_metrics, _requests, _rule, bent, dealt, exports_of, metrics_of, query, r9, sql9, table, view
 
 # ---------------------------------------------------------------- shapes
 
@@ -245,9 +245,7 @@ CUES = {"one": ["the", "and"], "two": ["ouch"], "own": []}
 def banks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The banks of every document. The choice of different spans is greedy, so there is no SQL; it is tested against a brute-force version."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("response_id"), "text")
-    if docs.rdd.getNumPartitions() < (n := spark.sparkContext.defaultParallelism):  # a text costs far more than to move it
-        docs = docs.repartition(n, "response_id")
-    built = evidence.build_banks(docs, CUES, optional=("own",))
+    built = evidence.build_banks(dealt(docs, "response_id"), CUES, optional=("own",))
     return built.select("response_id", "feature_id", F.size("bank").alias("n"), F.md5(F.array_join("bank", "|").cast("binary")).alias("h"))
 
 
