@@ -85,6 +85,12 @@ def test_sensitivity_matches_direct_evaluation(metrics):
     assert row["mean_composite"] == pytest.approx(direct.agg(F.avg("secondary_composite")).first()[0])
 
 
+def test_codes_keep_the_first_of_the_alphabet(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "?"), (2, "b"), (2, None), (3, "?"), (4, None)], "k int, v string")
+    got = df.groupBy("k").agg(F.min(score.code(F.col("v"), ["b", "a", "c"])).alias("i")).select("k", score.decoded(F.col("i"), ["b", "a", "c"]).alias("v"))
+    assert {r["k"]: r["v"] for r in got.collect()} == {1: "a", 2: "b", 3: None, 4: None}
+
+
 def test_bootstrap(spark):
     values = [0.1, 0.4, 0.2, 0.9]
     df = spark.createDataFrame([(f"f{i}", v) for i, v in enumerate(values)], "item_family_id string, d double")
