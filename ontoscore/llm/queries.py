@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage (op1 to op10) and their SQL where SQL can express them."""
+"""The registered queries of this subpackage (op1 to op13) and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -98,6 +98,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), whole_short=True).select("doc_id", "item_id", "n_tiles", "matched_words", "item_words", "coverage")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids and of what they decode to."""
+    import public_tokenizers
+
+    from ontoscore.llm.pieces import digests
+
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -109,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_rlz": op9_rlz,
     "op10_decontamination": op10_decontamination,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 
