@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step handles at once; bounds the worker's memory.
@@ -74,6 +75,28 @@ def resize(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumn(name, F.octet_length(F.coalesce(F.col(column), F.lit(""))))
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str], keep: dict[str, Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """Written: by, keep, and the row's rank (long, from 1) within `by` under that name; sums: for a kept column, the name of its sum over earlier rows.
+
+    Rows are dealt by ranges of by and order (nulls first), and counted in each range, so that rows with one value of `by` may be any
+    share of all. Rows that are equal in by and order have ranks in no certain order.
+    """
+    sums = sums or {}
+    w = Window.partitionBy(*by, "_part")
+    parts = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    parts = materialise(parts.select(*by, *[c.alias(k) for k, c in keep.items()], F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranges")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    counts = counts.select(*by, "_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", *[f"_{c}" for c in sums])])
+    above = w.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    found = parts.join(counts, [*by, "_part"]).select(
+        *by, *keep, (F.col("_n") + F.row_number().over(w.orderBy("_at"))).alias(name), *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(above), F.lit(0))).alias(as_) for c, as_ in sums.items()]
+    )
+    found = materialise(found, "ranked")
+    discard(parts)
+    return found
+
+
 # ---------------------------------------------------------------- arrow
 
 

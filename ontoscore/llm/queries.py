@@ -107,6 +107,13 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    from ontoscore.llm.trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_rlz": op9_rlz,
     "op10_decontamination": op10_decontamination,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 
