@@ -114,6 +114,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ in their shares of terms, and by which terms."""
+    from ontoscore.llm.divergence import divergence
+
+    return divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -127,13 +134,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_divergence": op13_divergence,
 }
 
 
 def _oracles() -> dict[str, str]:
+    from ontoscore.llm.divergence import DIVERGENCE_SQL
     from ontoscore.llm.mixing import mix_sql
+    from ontoscore.llm.trie import TRIE_SQL
 
     return {
+        "op12_prefix_trie": TRIE_SQL,
+        "op13_divergence": DIVERGENCE_SQL,
         "op2_mixing": mix_sql(MIX_WEIGHTS, MIX_DEFAULT, MIX_BLOCK),
         "op3_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -111,7 +111,11 @@ def trie(turns: DataFrame) -> DataFrame:
         levels = live.groupBy("node", "d").agg(alike.alias("alike"))
         cuts = levels.groupBy("node").agg(F.min(F.when(~F.col("alike"), F.col("d"))).alias("cut"), F.max("d").alias("last"))
         stretches = kept(groups.join(cuts, "node").select("node", "top", "n", "parent", (F.coalesce(F.col("cut"), F.col("last") + 1) - 1).alias("bottom")), "stretches")
-        below = materialise(_by_node(live, stretches.select("node", "n", "bottom")).where("d >= bottom"), "below")
+        if rounds:
+            below = _by_node(live, stretches.select("node", "n", "bottom"))
+        else:  # the root alone
+            below = live.withColumn("bottom", F.lit(stretches.first()["bottom"]).cast("long"))
+        below = materialise(below.where("d >= bottom"), "below")
         discard(*passing)
         passing = [below]
         tails = kept(below.where("d = bottom AND (length = bottom OR conv_id = node)").select("node", "bottom", "conv_id", "length", "total"), "tails")
@@ -227,3 +231,27 @@ def prefix_trie(conversations: DataFrame, block: int = BLOCK, few: int = FEW) ->
     result = trie(turns)
     discard(turns)
     return result
+
+
+#: The same in SQL, where prefixes are compared as lists.
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY pos) AS l FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, l, xor(list_reduce(
+    list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: CAST(ord(substring(CAST(conv_id AS VARCHAR), CAST(i AS BIGINT), 1)) AS UBIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y // 2, (y % 2) * 3988292384)), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 6 AS h
+  FROM o),
+b AS (SELECT h.conv_id, list_concat(coalesce(f.l[1:CAST(h.h AS BIGINT)], []), h.l[CAST(h.h AS BIGINT) + 1:]) AS l FROM h LEFT JOIN o f ON f.conv_id = h.conv_id - h.conv_id % 100),
+n AS (SELECT conv_id, unnest(range(0, len(l) + 1)) AS d, l FROM b),
+p AS (SELECT conv_id, d, l, min(conv_id) OVER (PARTITION BY d, l[1:d]) AS node FROM n),
+nodes AS (
+  SELECT node, d, count(*) AS n, coalesce(max(length(l[d].x)), 0) AS size,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(l) = d), '') AS ends FROM p GROUP BY node, d),
+k AS (SELECT p.node, p.d, count(*) AS n_children FROM nodes c JOIN p ON p.conv_id = c.node AND p.d = c.d - 1 GROUP BY p.node, p.d),
+f AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN k USING (node, d)),
+r AS (SELECT p.node, p.d, count(*) FILTER (WHERE f.n_children = 0) AS leaves, sum((f.n - 1) * f.size) AS saved FROM f JOIN p ON p.conv_id = f.node AND p.d <= f.d GROUP BY p.node, p.d)
+SELECT f.node AS conv_id, f.d AS depth, p.node AS parent_conv_id, f.n AS n_convs, f.n_children, r.leaves AS n_leaves, CAST(r.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN r USING (node, d) LEFT JOIN p ON p.conv_id = f.node AND p.d = f.d - 1"""
