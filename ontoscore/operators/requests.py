@@ -1,8 +1,7 @@
-"""Requests to a judge: opportunity packets, rendered prompts and compact schemas, all from data."""
+"""Requests to a judge: opportunity packets, rendered prompts and calls, all from data."""
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -11,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ontoscore.fixed import CAUSAL_ROLES, DISPOSITIONS, RELATIONS, STANCES, STATUSES
-
 
 def uniq_classes(primary: Column, secondary: Column, monitor: Column) -> Column:
     """One array of structs (feature_id, opportunity_class), each feature once, in order, with its strongest class."""
@@ -39,70 +36,6 @@ def render(rows: DataFrame, template: str, columns: list[str]) -> DataFrame:
     return rows.withColumn("prompt", prompt)
 
 
-def claim_schema(feature_ids: list[str], groups: list[str], bank: list[str]) -> dict:
-    """A JSON Schema that pins each claim to its feature, and its evidence to the bank."""
-    def claim(i: int) -> dict:
-        fields = {
-            "claim_index": {"const": i}, "feature_id": {"const": feature_ids[i]}, "feature_group": {"const": groups[i]},
-            "status": {"enum": STATUSES}, "disposition": {"enum": DISPOSITIONS}, "stance": {"enum": STANCES}, "causal_role": {"enum": CAUSAL_ROLES},
-            "evidence": {"type": "array", "items": {"enum": bank}} if bank else {"type": "array", "maxItems": 0},
-        }
-        return {"type": "object", "properties": fields, "required": sorted(fields), "additionalProperties": False}
-
-    relations = [{"type": "object", "properties": {"relation_type": {"const": t}, "relation_value": {"enum": v}}, "required": ["relation_type", "relation_value"]} for t, v in RELATIONS.items()]
-    n = len(feature_ids)
-    return {
-        "type": "object",
-        "properties": {
-            "claims": {"type": "array", "prefixItems": [claim(i) for i in range(n)], "minItems": n, "maxItems": n},
-            "relations": {"type": "array", "prefixItems": relations, "minItems": len(relations), "maxItems": len(relations)},
-        },
-        "required": ["claims", "relations"],
-    }
-
-
-def schema_problems(schema: dict, n: int) -> list[str]:
-    """What is wrong with a schema for n claims; nothing if it can be used."""
-    out = []
-    claims = schema.get("properties", {}).get("claims", {})
-    items = claims.get("prefixItems", [])
-    if not len(items) == claims.get("minItems") == claims.get("maxItems") == n:
-        out.append("claims are not pinned")
-    for i, x in enumerate(items):
-        if x["properties"]["claim_index"].get("const") != i:
-            out.append(f"claim {i} has another index")
-        if x["properties"]["evidence"].get("items", {}).get("enum") == []:
-            out.append(f"claim {i} has an empty enumeration")
-    return out
-
-
-def const_to_enum(value: object) -> object:
-    """A schema in which every {"const": x} says {"enum": [x]}."""
-    if isinstance(value, dict):
-        return {("enum" if k == "const" else k): ([const_to_enum(v)] if k == "const" else const_to_enum(v)) for k, v in value.items()}
-    return [const_to_enum(v) for v in value] if isinstance(value, list) else value
-
-
-def with_schema(requests: DataFrame, least_union: int = 10, least_banks: int = 3) -> DataFrame:
-    """requests: custom_id, features (structs feature_id, feature_group), bank (array), bank_sizes (array of the features' own banks' sizes).
-
-    Adds schema_json, and schema_error where the evidence is too thin to judge: fewer union spans or non-empty feature banks than asked for.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            made, errors = [], []
-            for features, bank, sizes in zip(b["features"], b["bank"], b["bank_sizes"], strict=True):
-                ids, groups = [f["feature_id"] for f in features], [f["feature_group"] for f in features]
-                s = const_to_enum(claim_schema(ids, groups, list(bank)))
-                made.append(json.dumps(s, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
-                thin = len(bank) < least_union or sum(x > 0 for x in sizes) < least_banks
-                errors.append("too little evidence" if thin else None)
-            yield pd.DataFrame({"custom_id": b["custom_id"], "schema_json": made, "schema_error": errors})
-
-    return requests.select("custom_id", "features", "bank", "bank_sizes").mapInPandas(run, "custom_id string, schema_json string, schema_error string")
-
-
 def family_packets(families: DataFrame, targets: DataFrame, packets: DataFrame) -> DataFrame:
     """The packets of each family's targets: item_family_id, factual_target_id, packet, error.
 

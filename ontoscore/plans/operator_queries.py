@@ -268,17 +268,6 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swarm.select_rows(rows, done, start=20, families=["en", "de"], limit=25).select(F.col("line_no").alias("doc_id"))
 
 
-@query("q_VAL47", "SELECT * FROM (VALUES (0, 0), (1, 0), (2, 0), (3, 1), (4, 2)) t(n, problems)")
-def schema_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sound schemas of 0, 1 and 2 claims; one of 3 with an index that is wrong; one of 4 that lacks a claim and has an empty enumeration."""
-    made = [requests.claim_schema([f"f{i}" for i in range(n)], ["g"] * n, ["a span"]) for n in range(5)]
-    claims = [m["properties"]["claims"] for m in made]
-    claims[3]["prefixItems"][1]["properties"]["claim_index"]["const"] = 2
-    claims[4]["prefixItems"].pop()
-    claims[4]["prefixItems"][0]["properties"]["evidence"] = {"items": {"enum": []}}
-    return spark.createDataFrame([(n, len(requests.schema_problems(m, n))) for n, m in enumerate(made)], "n int, problems int")
-
-
 @query("q_JN17", "SELECT item_family_id, factual_target_id, packet, error FROM (SELECT DISTINCT 'F' || (doc_id % 24) AS item_family_id, CASE WHEN doc_id % 24 < 20 THEN 'T' || (doc_id % 24) END AS factual_target_id, CASE WHEN doc_id % 24 < 12 THEN 'p' || (doc_id % 24) END AS packet, CASE WHEN doc_id % 24 >= 20 THEN 'family has no targets' WHEN doc_id % 24 >= 12 THEN 'target has no packet' END AS error FROM documents)")
 def family_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = table(spark, sf_dir, "documents").select(F.concat(F.lit("F"), F.col("doc_id") % 24).alias("item_family_id"))
@@ -450,12 +439,6 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- identity and time
 
 
-@query("q_JSON3", """SELECT n, '{"properties":{"a":{"enum":[' || n || ']},"b":{"items":{"enum":["x"]}}}}' AS schema FROM range(5) t(n)""")
-def enumerated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = [(n, ident.canonical(requests.const_to_enum({"properties": {"b": {"items": {"const": "x"}}, "a": {"const": n}}}))) for n in range(5)]
-    return spark.createDataFrame(made, "n long, schema string")
-
-
 DOC_JSON = """'{"lang":' || coalesce(CAST(to_json(lang) AS VARCHAR), 'null') || ',"n_chars":' || n_chars || ',"source":' || coalesce(CAST(to_json(source) AS VARCHAR), 'null') || '}'"""
 
 

@@ -1,5 +1,3 @@
-import json
-
 import numpy as np
 import pytest
 
@@ -20,19 +18,6 @@ def test_superiority(spark):
     assert got == {("a", "b"): pytest.approx(2 / 3), ("b", "a"): pytest.approx(1 / 3)}
 
 
-def test_schema_is_pinned(spark):
-    s = requests.claim_schema(["f0", "f1"], ["g", "g"], ["a span"])
-    assert requests.schema_problems(s, 2) == []
-    assert requests.schema_problems(s, 3) == ["claims are not pinned"]
-    s["properties"]["claims"]["prefixItems"].reverse()
-    assert len(requests.schema_problems(s, 2)) == 2
-    assert requests.const_to_enum({"a": [{"const": 1}]}) == {"a": [{"enum": [1]}]}
-    rows = spark.createDataFrame([("q", [("f0", "g")], ["x"] * 12, [1, 1, 1]), ("r", [("f0", "g")], ["x"], [0])], "custom_id string, features array<struct<feature_id:string,feature_group:string>>, bank array<string>, bank_sizes array<int>")
-    got = {r["custom_id"]: r for r in requests.with_schema(rows).collect()}
-    assert got["q"]["schema_error"] is None and got["r"]["schema_error"] == "too little evidence"
-    assert '"const"' not in got["q"]["schema_json"] and json.loads(got["q"]["schema_json"])["properties"]["claims"]["minItems"] == 1
-
-
 def test_model_errors_are_rows(spark):
     def model(prompt):
         if prompt == "bad":
