@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -100,23 +103,6 @@ def discriminant_panel(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count("*").alias("n"), F.count_if(below).alias("n_below"), *[F.avg(c).alias(c) for c in ("recognition", "neoclassical", "institutionalist")])
 
 
-def bca_interval(values: np.ndarray, draws: int = 5000, seed: int = 202604, alpha: float = 0.05) -> tuple[float, float]:
-    """Bias-corrected and accelerated bootstrap interval of the mean; one value for each family."""
-    from statistics import NormalDist
-
-    normal = NormalDist()
-    x = np.asarray(values, float)
-    n = len(x)
-    sims = np.sort(x[np.random.default_rng(seed).integers(0, n, (draws, n))].mean(axis=1))
-    share = min(max((sims < x.mean()).mean(), 1 / (2 * draws)), 1 - 1 / (2 * draws))
-    z0 = normal.inv_cdf(share)
-    jack = (x.sum() - x) / (n - 1)
-    d = jack.mean() - jack
-    a = (d**3).sum() / (6 * ((d**2).sum() ** 1.5)) if (d != 0).any() else 0.0
-    at = [normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))) for z in (normal.inv_cdf(alpha / 2), normal.inv_cdf(1 - alpha / 2))]
-    return tuple(float(np.quantile(sims, q)) for q in at)
-
-
 def ranks(means: DataFrame, model: str, value: str, by: list[str]) -> DataFrame:
     """Rank of each model within a replicate (1 is the largest value), and how often each model has each rank."""
     w = Window.partitionBy(*by).orderBy(F.desc(value), model)
@@ -132,6 +118,95 @@ def superiority(means: DataFrame, model: str, value: str, by: list[str]) -> Data
     return pairs.groupBy("better", "worse").agg(F.count("*").alias("n"), (F.count_if(F.col("x") > F.col("y")).cast("double") / F.count("*")).alias("share"))
 
 
+def averages(labels: DataFrame, unit: str, gold: str, judged: str, by: list[str]) -> DataFrame:
+    """Agreement on all levels in one aggregation: by, totalled (the columns of `by` that a row runs over), unit, average, tp, fp, fn, precision, recall, f1.
+
+    average: 'unit' for one unit's own figures, 'micro' for those of the pooled counts, 'macro' for the plain mean of the units' figures
+    (figures that a unit lacks don't count; no counts). totalled names columns in order, joined by commas, '' where none is.
+    """
+    g, j = F.col(gold), F.col(judged)
+    flags = [F.grouping(c).alias(f"_over_{i}") for i, c in enumerate([*by, unit])]
+    cells = labels.cube(*by, unit).agg(F.count_if(g & j).alias("tp"), F.count_if(~g & j).alias("fp"), F.count_if(g & ~j).alias("fn"), *flags)
+    share = lambda a, b: _d(a) / F.nullif(_d(a + b), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    cells = cells.withColumns({"precision": share(tp, fp), "recall": share(tp, fn), "f1": share(2 * tp, fp + fn)})
+    over = [f"_over_{i}" for i in range(len(by))]
+    totalled = F.array_join(F.array_compact(F.array(*[F.when(F.col(o) == 1, F.lit(c)) for o, c in zip(over, by, strict=True)])), ",").alias("totalled") if by else F.lit("").alias("totalled")
+    kind = F.when(F.col(f"_over_{len(by)}") == 1, "micro").otherwise("unit").alias("average")
+    figures = ["tp", "fp", "fn", "precision", "recall", "f1"]
+    macro = cells.where(F.col(f"_over_{len(by)}") == 0).groupBy(*by, *over).agg(*[F.avg(c).alias(c) for c in figures[3:]])
+    none = F.lit(None).cast("long")
+    macro = macro.select(*by, totalled, F.lit(None).cast(labels.schema[unit].dataType).alias(unit), F.lit("macro").alias("average"), *[none.alias(c) for c in figures[:3]], *figures[3:])
+    return cells.select(*by, totalled, unit, kind, *figures).union(macro)
+
+
+def gram(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of every two of many columns over the rows that have both, in one pass: x, y (places, x < y), n, r.
+
+    A task sums the outer products of its rows (numbers of pairs, sums, squares, products) and hands on one row; those are summed place
+    by place in a tree. r is null for fewer than two rows or without variance.
+    """
+    p = len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q, c = (np.zeros((p, p)) for _ in range(4))
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(p)])
+            there = np.isfinite(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            n += there.T @ there
+            s += x.T @ there
+            q += (x * x).T @ there
+            c += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([m.ravel().tolist()], pa.list_(pa.float64())) for m in (n, s, q, c)], names=["n", "s", "q", "c"])
+
+    wide = rows.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    parts = wide.mapInArrow(run, "n array<double>, s array<double>, q array<double>, c array<double>")
+    cells = parts.select(F.posexplode(F.arrays_zip("n", "s", "q", "c")).alias("at", "m")).groupBy("at").agg(*[F.sum(f"m.{k}").alias(k) for k in ("n", "s", "q", "c")])
+    cells = cells.withColumns({"x": F.floor(F.col("at") / p).cast("int"), "y": (F.col("at") % p).cast("int")})
+    # of the other column of a pair, sums stand at the mirrored place
+    both = cells.where("x < y").join(cells.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("s").alias("t"), F.col("q").alias("u")), ["x", "y"])
+    n, spread = F.col("n"), lambda s, q: F.greatest(F.lit(0.0), F.col("n") * F.col(q) - F.col(s) * F.col(s))
+    least = F.lit(1e-12) * n * n
+    sound_ = (n > 1) & (spread("s", "q") > least) & (spread("t", "u") > least)
+    r = (n * F.col("c") - F.col("s") * F.col("t")) / F.sqrt(spread("s", "q") * spread("t", "u"))
+    return both.select("x", "y", n.cast("long").alias("n"), F.when(sound_, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+
+
+def traits_by_methods(scores: DataFrame, unit: str, method: str, methods: list[str], traits: list[str]) -> DataFrame:
+    """The multi-trait multi-method matrix: x_trait, x_method, y_trait, y_method, kind, n, r for each two of traits times methods.
+
+    kind: 'reliability' (one trait by two methods), 'traits' (two traits by one method) or 'both differ'. A unit's score by a method is
+    its first that is not null.
+    """
+    columns = [(t, m) for m in methods for t in traits]
+    wide = scores.groupBy(unit).agg(*[F.first(F.when(F.col(method) == m, F.col(t)), ignorenulls=True).alias(f"c{i}") for i, (t, m) in enumerate(columns)])
+    names = F.array(*[F.struct(F.lit(t).alias("trait"), F.lit(m).alias("method")) for t, m in columns])
+    x, y = names[F.col("x")], names[F.col("y")]
+    kind = F.when(x["trait"] == y["trait"], "reliability").when(x["method"] == y["method"], "traits").otherwise("both differ")
+    found = gram(wide, [f"c{i}" for i in range(len(columns))])
+    return found.select(x["trait"].alias("x_trait"), x["method"].alias("x_method"), y["trait"].alias("y_trait"), y["method"].alias("y_method"), kind.alias("kind"), "n", "r")
+
+
+def robustness_levels(counts: DataFrame, minima: list[float], axes: list[str]) -> DataFrame:
+    """Mean gated score by dimension and minimum assessability, for each subset of axes (sources, strata) at once: feature_group,
+    opportunity_class, minimum, axes (null where totalled), totalled (as in averages()), n_scored, mean_score.
+
+    counts: dimension_counts() with the axes; an axis that is null is a value of its own, told by `totalled`.
+    """
+    planned, assessable = _d(F.col("planned_n")), _d(F.col("assessable_n"))
+    each = counts.withColumn("minimum", F.explode(F.array(*[F.lit(float(m)) for m in minima])))
+    value = F.when(assessable / planned >= F.col("minimum"), _d(F.col("true_n")) / F.nullif(assessable, F.lit(0.0)))
+    fixed = ["feature_group", "opportunity_class", "minimum"]
+    subsets = [[F.col(a) for k, a in enumerate(axes) if bits >> k & 1] for bits in range(1 << len(axes))]
+    each = each.withColumn("value", value)
+    sets = [[*map(F.col, fixed), *s] for s in subsets]
+    flags = [F.grouping(a).alias(f"_over_{i}") for i, a in enumerate(axes)]
+    out = each.groupingSets(sets, *fixed, *axes).agg(F.count("value").alias("n_scored"), F.avg("value").alias("mean_score"), *flags)
+    totalled = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_over_{i}") == 1, F.lit(a)) for i, a in enumerate(axes)])), ",")
+    return out.select(*fixed, *axes, totalled.alias("totalled"), "n_scored", "mean_score")
+
+
 def robustness(counts: DataFrame, minima: list[float]) -> DataFrame:
     """Mean gated score and number of scored extractions by dimension, for several minimum assessabilities at once. counts: dimension_counts()."""
     planned, assessable = _d(F.col("planned_n")), _d(F.col("assessable_n"))

@@ -1,17 +1,9 @@
-import numpy as np
 import pytest
 
 from ontoscore.operators import requests, rules, stats
 from ontoscore.plans.overlay import with_
 
 
-def test_bca_interval_is_near_the_percentile_one_for_symmetric_values():
-    x = np.linspace(-1, 1, 41)
-    low, high = stats.bca_interval(x, 2000)
-    assert low == pytest.approx(-high, abs=0.05) and low < 0 < high
-    assert stats.bca_interval(np.ones(4), 100) == (1.0, 1.0)
-
-
 def test_superiority(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 1.0), ("a", 2, 0.0), ("b", 2, 1.0), ("a", 3, 5.0), ("b", 3, 1.0)], "model string, rep int, v double")
     got = {(r["better"], r["worse"]): r["share"] for r in stats.superiority(df, "model", "v", ["rep"]).collect()}
