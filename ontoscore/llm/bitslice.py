@@ -22,23 +22,42 @@ SCALE = 256
 K = 5
 #: Low bits that the index leaves out.
 DROPPED = 2
+#: Most slices of an attribute; what lies below is left out, too.
+BITS = 20
 #: Rows of a block. Queries pass by it in Arrow batches, so memory is bounded by a block.
 ROWS = 16384
 
 
-def integers(col: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as double; null where the vector is null or empty or holds a null or non-finite component.
+def components(col: Column, scale: int = SCALE) -> Column:
+    """floor(scale * x) / scale of each component as double; null where the vector is null or empty or holds a null or non-finite component.
 
-    Integers beyond a bound count as the bound, so that no sum of products leaves 64 bits: 2**28 up to 64 components, 2**25 up to
-    4096, 2**15 beyond.
+    The scale is a power of two, so that the quotient is exact; doubles of 2**45 and more are multiples of 1 / scale already.
     """
+    if scale < 1 or scale > 256 or scale & (scale - 1):
+        raise ValueError("scale must be a power of two up to 256")
     d = F.transform(col, lambda x: x.cast("double"))
     bad = F.exists(d, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    most = F.when(F.size(col) <= 64, 2.0**28).when(F.size(col) <= 4096, 2.0**25).otherwise(2.0**15)
-    whole = lambda x: F.greatest(-most, F.least(most, F.floor(F.greatest(-most, F.least(most, x * float(scale)))).cast("double"))).cast("long")
+    whole = lambda x: F.when(F.abs(x) < 2.0**45, F.floor(x * float(scale)).cast("double") / float(scale)).otherwise(x)
     return F.when(F.coalesce(F.size(col), F.lit(0)) > 0, F.when(~F.coalesce(bad, F.lit(True)), F.transform(d, whole)))
 
 
+def integers(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """scale * x of components(): 64-bit integers where they all have under 62 bits, else Python's integers, which have no bound."""
+    if not x.size or np.abs(x).max() < 2.0**61 / scale:
+        return (x * scale).astype(np.int64)
+    return np.array([int(v) * scale if abs(v) >= 2.0**45 else int(v * scale) for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products without overflow: of 64-bit integers where no sum can leave them, else of Python's."""
+    if not len(vectors):
+        return np.zeros(0, np.int64)
+    most = sum(abs(int(q)) * max(abs(int(lo)), abs(int(hi))) for q, lo, hi in zip(query.tolist(), vectors.min(axis=0).tolist(), vectors.max(axis=0).tolist(), strict=True))
+    if most < 2**63 and vectors.dtype != object and query.dtype != object:
+        return vectors @ query
+    return np.array([sum(a * b for a, b in zip(v, query.tolist(), strict=True)) for v in vectors.tolist()], object)
+
+
 def add(columns: list[list[np.ndarray]], words: int) -> list[np.ndarray]:
     """Slices of the sum of bitmaps: columns[i] holds those of weight 2**i. Full adders take three bitmaps of a weight to two."""
     out, i = [], 0
@@ -94,11 +113,14 @@ class Block:
         self.ids, self.vectors = ids[order], vectors[order]
         n, self.dims = vectors.shape
         self.words = -(-n // 64)
-        self.base = self.vectors.min(axis=0)
-        shifted = ((self.vectors - self.base) >> dropped).astype(np.uint64)
-        self.dropped = dropped
-        self.bits = [int(shifted[:, d].max()).bit_length() for d in range(self.dims)]
-        self.most = [(1 << b) - 1 for b in self.bits]
+        base = self.vectors.min(axis=0)
+        spans = [int(hi) - int(lo) for lo, hi in zip(base.tolist(), self.vectors.max(axis=0).tolist(), strict=True)]
+        # wide attributes lose more low bits, so that none has more than BITS slices
+        self.dropped = [max(dropped, x.bit_length() - BITS) for x in spans]
+        self.low = min(self.dropped, default=dropped)
+        shifted = np.stack([((self.vectors[:, d] - base[d]) >> self.dropped[d]).astype(np.uint64) for d in range(self.dims)], axis=1)
+        self.bits = [x >> k for x, k in zip(spans, self.dropped, strict=True)]
+        self.bits = [x.bit_length() for x in self.bits]
         pad = np.zeros((self.words * 64, self.dims), np.uint64)
         pad[:n] = shifted
         self.slices = [[self._bitmap(pad[:, d] >> np.uint64(b) & np.uint64(1)) for b in range(self.bits[d])] for d in range(self.dims)]
@@ -116,8 +138,8 @@ class Block:
         for d, q in enumerate(query.tolist()):
             if not q:
                 continue
-            slack += abs(q) * ((1 << self.dropped) - 1)
-            weight = abs(q)
+            slack += abs(q) * ((1 << self.dropped[d]) - 1)
+            weight = abs(q) << (self.dropped[d] - self.low)
             for b, s in enumerate(self.slices[d]):
                 if q < 0:  # -|q| u = |q| (most - u) - |q| most: the complement is added
                     s = ~s
@@ -134,9 +156,12 @@ class Block:
                 valid = valid.copy()
                 for r in range(lo, hi):
                     valid[r >> 6] &= ~(np.uint64(1) << np.uint64(r & 63))
-        left = top(slices, valid, k, -(-slack // (1 << self.dropped)) + 1)
+        left = top(slices, valid, k, -(-slack // (1 << self.low)) + 1)
         rows = np.flatnonzero(np.unpackbits(left.view(np.uint8), bitorder="little"))
-        scores = self.vectors[rows] @ query
+        scores = products(self.vectors[rows], query)
+        best = sorted(zip((-scores).tolist(), self.ids[rows].tolist(), strict=True))[:k] if scores.dtype == object else None
+        if best is not None:
+            return [(-a, b) for a, b in best]
         best = np.lexsort((self.ids[rows], -scores))[:k]
         return list(zip(scores[best].tolist(), self.ids[rows][best].tolist(), strict=True))
 
@@ -144,7 +169,7 @@ class Block:
 FOUND = "query_id long, vec_id long, score long"
 
 
-def _search(k: int):
+def _search(k: int, scale: int):
     """Rows sorted by block and kind: the rows of a block (0), which are indexed, then the queries (1), which are streamed."""
 
     def cut(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
@@ -162,7 +187,7 @@ def _search(k: int):
         out = {}
         for d in np.unique(sizes).tolist():
             places = np.flatnonzero(sizes == d)
-            out[d] = places, flat[at[places][:, None] + np.arange(d)[None, :]]
+            out[d] = places, integers(flat[at[places][:, None] + np.arange(d)[None, :]], scale)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +208,8 @@ def _search(k: int):
                     if d in blocks:
                         for i, q in zip(ids[places].tolist(), m, strict=True):
                             found += [(i, x, s) for s, x in blocks[d].search(q, i, k)]
+            if any(abs(s) >= 2**63 for _, _, s in found):
+                raise OverflowError("a score leaves 64 bits")
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
@@ -195,16 +222,16 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     Components are floor(scale * x). Vectors that are null or empty or hold null or non-finite components take no part, nor do rows
     with null ids; only vectors of one length are compared. A query's own id is no candidate; a repeated id is one query for each
     different vector, and rows that repeat an id rank side by side. Ties go to the smaller id. Fewer candidates than k give fewer rows.
-    Very large components are bounded (integers). An empty table gives an empty result; other columns are ignored. Each query is sent
+    Components and scores are exact at any size; a score among the k best of a block that leaves 64 bits is an error. An empty table gives an empty result; other columns are ignored. Each query is sent
     to each block of `rows` rows, so queries times rows / 16384 vectors move.
     """
-    table = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where("v is not null")
+    table = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), components(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query")).where("v is not null")
     n = table.count()
     blocks = max(1, -(-n // rows))
     dealt = table.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"))
     asked = table.where("is_query").select(F.col("vec_id").alias("query_id"), "v").distinct()
     every = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     both = dealt.select("block", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v").unionByName(every.select("block", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v"))
-    found = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_search(k), FOUND)
+    found = both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_search(k, scale), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -372,11 +372,29 @@ def test_search(spark):
     assert search(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_very_large_components_are_bounded(spark):
-    df = spark.createDataFrame([(0, [0.5, 1e20]), (1, [1.0, -1e300]), (2, [1.0, 1e15]), (3, [0.5, 2.0**20])], "vec_id long, embedding array<double>")
-    got = [(r["vec_id"], r["score"]) for r in sorted(search(df, F.col("vec_id") == 0).collect(), key=lambda r: r["rank"])]
-    top = 2**28
-    assert got == [(2, 128 * 256 + top * top), (3, 128 * 128 + top * top), (1, 128 * 256 - top * top)]
+def test_very_large_components(spark):
+    """Scores are those of plain integers: where a component leaves 32 bits, where one leaves 64 and meets nothing, in long vectors."""
+    r = random.Random(8)
+    rows = [(0, [1.0, 0.0] + [1.0] * 6), (1, [2e6] + [0.0] * 7), (2, [3e6] + [0.0] * 7), (3, [-1e7] * 8), (4, [1e7] * 8), (100, [0.0, 1e300, 0.0, 0.5, 0.0, 0.0, 0.0, 0.0]), (5, [-1e8, 0.0, 0.0, 0.25, 0.0, 0.0, 0.0, 0.0])]
+    rows += [(i, [r.uniform(-1, 1) * 10 ** r.randrange(0, 7), 0.0] + [r.uniform(-1, 1) * 10 ** r.randrange(0, 7) for _ in range(6)]) for i in range(10, 60)]
+    rows += [(200 + i, [0.0] * 4990 + [r.uniform(-900, 900) for _ in range(10)]) for i in range(12)] + [(250, [200.0] + [0.0] * 4999), (251, [900.0] + [0.0] * 4999)]
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    got = {}
+    for x in search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 50, 200, 250), rows=20).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    for q in (0, 50, 200, 250):
+        own = next(v for i, v in good if i == q)
+        want = sorted(((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in good if i != q and len(v) == len(own)))
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(want[:5], 1)]
+    with pytest.raises(Exception, match="64 bits"):
+        search(spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 0.0])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
+def test_scores_that_fit_though_products_do_not(spark):
+    rows = [(0, [1e15, 1.0, 2.0]), (1, [1e3, -1e18, 3.0]), (2, [0.0, 7.0, -1.5]), (3, [-1e3, 1e18, 0.0])]
+    got = [(x["vec_id"], x["score"]) for x in sorted(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect(), key=lambda x: x["rank"])]
+    exact = lambda v: sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, rows[0][1], strict=True))
+    assert got == [(i, s) for s, i in sorted(((exact(v), i) for i, v in rows[1:]), reverse=True)[:2]]
 
 
 # ---------------------------------------------------------------- chat
