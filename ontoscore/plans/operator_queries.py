@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ from ontoscore.operators import effects, evidence, flatten, requests, rules, sta
 from ontoscore.plans.overlay import with_
 from ontoscore.plans.queries import KEYS, query, r9, sql9, table, view
 from ontoscore.sources import jsonl
+from ontoscore.streaming.ingest import durable_append
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -23,6 +26,7 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="ontoscore-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -61,14 +65,18 @@ def read_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.read_jsonl(spark, path, "item_id long, text string", strict=False).select("item_id", "text")
 
 
-@query("q_SRC3", f"SELECT CAST(item_id AS VARCHAR) AS key, item_id, text, {sql_digit('item_id')} >= '2' AS key_matches FROM benchmark")
+@query("q_SRC3", f"SELECT CAST(doc_id AS VARCHAR) AS key, doc_id, md5(text) AS text_md5, {sql_digit('doc_id')} >= '2' AS key_matches FROM documents WHERE {sql_digit('doc_id')} <> '8' UNION ALL SELECT NULL, NULL, NULL, false FROM documents WHERE {sql_digit('doc_id')} = '8'")
 def read_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One object of all items; an eighth of the entries names another key than its own."""
-    path, key = scratch(spark, "keyed"), F.col("item_id").cast("string")
-    entry = F.concat(F.to_json(key.cast("variant")), F.lit(":"), F.to_json(F.struct(F.when(digit("item_id") >= "2", key).otherwise("x").alias("id"), "item_id", "text")))
-    whole = items(spark, sf_dir).groupBy().agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))
-    whole.write.text(path)
-    return jsonl.read_keyed(spark, path, "struct<id:string,item_id:long,text:string>", "id").select("key", "item_id", "text", "key_matches")
+    """One object of all documents, read in splits. An eighth of the entries names another key than its own; some are no JSON, which are rows without key."""
+    path, key, d = scratch(spark, "keyed"), F.col("doc_id").cast("string"), digit("doc_id")
+    said = F.to_json(F.struct(F.when(d >= "2", key).otherwise("x").alias("id"), "doc_id", "text"))
+    entry = F.concat(F.to_json(key.cast("variant")), F.when(d == "8", F.lit(" = ")).otherwise(F.lit(": ")), said)
+    rows = table(spark, sf_dir, "documents").select(F.lit(1).alias("kind"), "doc_id", entry.alias("value"))
+    ends = spark.createDataFrame([(0, None, "{"), (2, None, "}")], "kind int, doc_id long, value string")
+    whole = rows.union(ends).repartition(1).sortWithinPartitions("kind", "doc_id").withColumn("place", F.monotonically_increasing_id())
+    whole.select(F.concat(F.when((F.col("kind") == 1) & (F.col("place") > 1), F.lit(", ")).otherwise(F.lit("")), "value")).write.text(path)
+    read = jsonl.read_keyed(spark, path, "struct<id:string,doc_id:long,text:string>", "id")
+    return read.select("key", "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "key_matches")
 
 
 @query("q_SRC7", f"SELECT 'document' AS class, sha256({ITEM_LINE} || chr(10)) AS sha256, CAST(strlen({ITEM_LINE}) + 1 AS BIGINT) AS length FROM benchmark")
@@ -113,6 +121,19 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.read_lines(spark, path).groupBy("line").agg(F.count("*").alias("n"))
 
 
+@query("q_SNK1_replayed", "SELECT doc_id, md5(text) AS text_md5, CAST(1 AS BIGINT) AS n FROM documents")
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended as a stream of batches, then all batches again, as after a run that was not known to be done: each row is there once."""
+    source, target = scratch(spark, "arriving"), scratch(spark, "appended")
+    docs = table(spark, sf_dir, "documents")
+    docs.repartition(4, "doc_id").write.parquet(source)
+    for run in range(2):
+        rows = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        done = durable_append(rows, target, f"{scratch(spark, 'checkpoint')}-{run}")
+        done.awaitTermination()
+    return spark.read.parquet(target).groupBy("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.count("*").alias("n"))
+
+
 @query("q_SNK2", "SELECT item_id, CAST(1 AS BIGINT) AS n FROM benchmark")
 def overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "lines")

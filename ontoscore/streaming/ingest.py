@@ -17,6 +17,17 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def append_once(rows: DataFrame, target: str, batch: int, column: str = "batch") -> None:
+    """Appends a batch as a folder of its own. A batch that is written again, because its run ended before it was known to be done, replaces
+    itself, so every row is there once however often a run is repeated; what a broken run left is gone with it."""
+    rows.write.mode("overwrite").parquet(f"{target}/{column}={batch}")
+
+
+def durable_append(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream to a table so that a repeated batch adds nothing. The checkpoint numbers the batches; the table's `batch` tells them."""
+    return rows.writeStream.foreachBatch(lambda df, batch: append_once(df, target, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed(events: DataFrame, time: str = "ts", length: str = "1 hour", late: str = "1 hour", by: str = "event_type", value: str = "value") -> DataFrame:
     """Count and sum by window and type; works on streams and tables."""
     rows = events.withWatermark(time, late) if events.isStreaming else events
