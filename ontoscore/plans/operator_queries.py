@@ -14,7 +14,7 @@ from ontoscore.fixed import EXEMPT_RELATION_VALUES, K
 from ontoscore.functions import ident, text
 from ontoscore.operators import effects, evidence, flatten, requests, rules, stats, swarm
 from ontoscore.plans.overlay import with_
-from ontoscore.plans.queries import KEYS, query, r9, sql9, table, view
+from ontoscore.plans.queries import KEYS, dealt, query, r9, sql9, table, view
 from ontoscore.sources import jsonl
 from ontoscore.streaming.ingest import durable_append
 
@@ -367,7 +367,9 @@ def quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEAD = "|".join(text.LEAD_WORDS)
-SPAN_SQL = rf"trim(regexp_replace(regexp_replace(regexp_replace(trim({{}}), '^[\"“”]+|[\"“”]+$', '', 'g'), '(?i)^(?:(?:{LEAD})\b[\s,]*)+', ''), '[\s,;:.\-—–]+$', ''))"
+#: Leading function words; RE2 knows word boundaries of ASCII only, so what follows the last one is spelled out and put back.
+LEAD_SQL = rf"(?i)^(?:(?:{LEAD})[\s,]+)*(?:(?:{LEAD})([^\p{{L}}\p{{N}}_]|$))?"
+SPAN_SQL = rf"trim(regexp_replace(regexp_replace(regexp_replace(trim({{}}), '^[\"“”]+|[\"“”]+$', '', 'g'), '{LEAD_SQL.replace('{', '{{').replace('}', '}}')}', '\1'), '[\s,;:.\-—–]+$', ''))"
 
 
 @query("q_STR12", f"SELECT item_id, {SPAN_SQL.format('''CASE item_id % 3 WHEN 0 THEN 'And so, the ' ELSE '“' END || text || ' , ; ' ''')} AS span FROM benchmark")
@@ -389,65 +391,87 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.size(F.regexp_extract_all("w", F.lit(text.ASCII_WORD), F.lit(0)))).alias("words"))
 
 
-@query("q_STR14", f"SELECT page_id, {sql_digit('page_id')} >= '4' AS kept FROM pages")
-def generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of one sentence: generic ones, and those with one content word, give no span."""
-    d = digit("page_id")
-    raw = F.when(d < "2", "His author's framing").when(d < "4", "it is the landlord").otherwise("the landlord's framing of rents")
-    return table(spark, sf_dir, "pages").select("page_id", (F.size(evidence.ranked(raw)) > 0).alias("kept"))
+@query("q_SET4", f"SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / nullif(least(len(a), len(b)), 0), 9) AS overlap FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, length(text) // 2)), '{WORD_SQL}')) AS a, list_distinct(regexp_extract_all(lower(substr(text, length(text) // 2 + 1)), '{WORD_SQL}')) AS b FROM documents)")
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that both halves of each whole text have."""
+    half, t = F.floor(F.length("text") / 2).cast("int"), F.col("text")
+    w = lambda part: F.regexp_extract_all(F.lower(part), F.lit(text.ASCII_WORD), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.overlap(w(t.substr(F.lit(1), half)), w(t.substr(half + 1, F.length(t)))), 9).alias("overlap"))
 
 
-@query("q_STR15", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN -(1500 + 1000) WHEN 1 THEN -(2500 + 250 + 400) ELSE -(2500 - 2 * 30) END AS value FROM pages")
-def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best value of a text of one sentence: of two words, of four with a domain term, and of eighteen."""
-    k = F.col("page_id") % 3
-    raw = F.when(k == 0, "bright yellow").when(k == 1, "rising wages hurt nobody").otherwise(" ".join(f"bird{i}" for i in range(18)))
-    best = F.get(evidence.ranked(raw, windows=False), 0)["value"]
-    return table(spark, sf_dir, "pages").select("page_id", best.alias("value"))
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
+DOMAIN_SQL = "(?i)" + "|".join(text.DOMAIN)
+GENERIC_SQL = text.GENERIC.replace("'", "''")
+
+
+def _spans_sql(source: str, key: str, windows: bool) -> str:
+    """r: key, span, value of the quoted phrases, sentences, clauses and (windows) stretches of words of each text that may be evidence; a span's best rank counts."""
+    more = f"""UNION ALL SELECT {key}, regexp_replace(array_to_string(u[i:i + n - 2], '') || w[i + n - 1], '{LEAD_SQL}', '\\1'), 900 FROM (
+  SELECT {key}, w, list_transform(w, lambda x, k: x || coalesce(g[k + 1], '')) AS u, n, unnest(range(1, len(w) - n + 2)) AS i FROM (
+    SELECT {key}, regexp_extract_all(text, '{WORD_SQL}') AS w, regexp_split_to_array(text, '{WORD_SQL}') AS g FROM {source}), (SELECT unnest(range(4, 15)) AS n))
+  WHERE NOT list_contains({EDGE_SQL}, lower(w[i])) AND NOT list_contains({EDGE_SQL}, lower(w[i + n - 1]))"""
+    return rf"""WITH s AS (SELECT {key}, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.;:\n]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM {source}),
+p AS (SELECT {key}, s AS raw, 1500 AS rank FROM s UNION ALL SELECT {key}, unnest(regexp_split_to_array(s, '(?i)[.;:\n]+|,\s+|—|–|\s+(?:where|while|because|which|so that|rather than|whereby)\s+')), 2500 FROM s
+  UNION ALL SELECT {key}, unnest(regexp_extract_all(text, '["“”]([^"“”]{{2,140}})["“”]', 1)), 5000 FROM {source}),
+q AS (SELECT {key}, span, max(rank) AS rank FROM (SELECT {key}, {SPAN_SQL.format('raw')} AS span, rank FROM p {more if windows else ''}) GROUP BY ALL),
+w AS (SELECT *, regexp_extract_all(span, '{WORD_SQL}') AS w FROM q WHERE length(span) BETWEEN 8 AND 160 AND NOT regexp_matches(span, '{GENERIC_SQL}')),
+v AS (SELECT *, len(w) AS n, list_filter(w, lambda x: NOT list_contains({STOP_SQL}, lower(x))) AS content FROM w),
+r AS (SELECT {key}, span, rank + CASE WHEN regexp_matches(span, '{DOMAIN_SQL}') THEN 400 ELSE 0 END + CASE WHEN n BETWEEN 4 AND 14 THEN 250 ELSE 0 END - greatest(n - 16, 0) * 30 AS value FROM v WHERE n BETWEEN 2 AND 26 AND len(content) >= 2)"""
 
 
-@query("q_STR17", "SELECT item_id, CASE item_id % 2 WHEN 0 THEN 'a b c|d e f' ELSE 'a b c|b c d|d e f' END AS chosen FROM benchmark")
-def distinct_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """'b c d' shares two of three words with 'a b c': too many from 0.6 on, not from 0.7."""
-    spans = F.array(*[F.lit(s) for s in ("a b c", "b c d", "d e f", "C b a")])
-    even = text.greedy_distinct(spans, 3, 0.6)
-    return items(spark, sf_dir).select("item_id", F.array_join(F.when(F.col("item_id") % 2 == 0, even).otherwise(text.greedy_distinct(spans, 3, 0.7)), "|").alias("chosen"))
+def _once(ranked: F.Column) -> F.Column:
+    """A span that is of several kinds counts once, with its best value: best first, (value, span)."""
+    names = F.transform(ranked, lambda s: s["span"])
+    return F.filter(F.transform(ranked, lambda s: F.struct((-s["value"]).alias("value"), s["span"].alias("span"))), lambda s, i: F.array_position(names, s["span"]) == i + 1)
 
 
-@query("q_SET4", f"SELECT doc_id, round(len(list_intersect(a, b))::DOUBLE / nullif(least(len(a), len(b)), 0), 9) AS overlap FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '{WORD_SQL}')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 101, 200)), '{WORD_SQL}')) AS b FROM documents)")
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = lambda at: F.regexp_extract_all(F.lower(F.substring("text", at, 200)), F.lit(text.ASCII_WORD), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.overlap(w(1), w(101)), 9).alias("overlap"))
+def _document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """value and span of every different span of every whole text, but for stretches of words."""
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    spans = docs.select("doc_id", F.explode(evidence.ranked(F.col("text"), windows=False)).alias("s"))
+    return spans.groupBy("doc_id", F.col("s.span").alias("span")).agg((-F.min("s.value")).alias("value"))
 
 
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "]"
-DOMAIN_SQL = "(?i)" + "|".join(text.DOMAIN)
-#: Sentences and clauses of benchmark items with their values; the best three of each item.
-SPANS_SQL = f"""WITH s AS (SELECT item_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.;:\\n]+'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM benchmark),
-p AS (SELECT item_id, s AS raw, 1500 AS rank FROM s UNION ALL SELECT item_id, unnest(regexp_split_to_array(s, '(?i)[.;:\\n]+|,\\s+|—|–|\\s+(?:where|while|because|which|so that|rather than|whereby)\\s+')), 2500 FROM s),
-q AS (SELECT item_id, {SPAN_SQL.format('raw')} AS span, max(rank) AS rank FROM p GROUP BY ALL),
-w AS (SELECT *, regexp_extract_all(span, '{WORD_SQL}') AS w FROM q WHERE length(span) BETWEEN 8 AND 160),
-v AS (SELECT *, len(w) AS n, list_filter(w, lambda x: NOT list_contains({STOP_SQL}, lower(x))) AS content FROM w),
-r AS (SELECT item_id, span, rank + CASE WHEN regexp_matches(span, '{DOMAIN_SQL}') THEN 400 ELSE 0 END + CASE WHEN n BETWEEN 4 AND 14 THEN 250 ELSE 0 END - greatest(n - 16, 0) * 30 AS value FROM v WHERE n BETWEEN 2 AND 26 AND len(content) >= 2)"""
+@query("q_STR14", f"{_spans_sql('documents', 'doc_id', False)} SELECT doc_id, count(*) AS n, CAST(sum(length(span)) AS BIGINT) AS characters FROM r GROUP BY 1")
+def kept_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans of each document are neither generic nor too short, too long or without content."""
+    return _document_spans(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("span")).alias("characters"))
+
+
+@query("q_STR15", f"{_spans_sql('documents', 'doc_id', False)} SELECT doc_id, CAST(max(value) AS INTEGER) AS best, CAST(sum(value) AS BIGINT) AS total FROM r GROUP BY 1")
+def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document's spans are worth: by kind, terms of the domain and length."""
+    return _document_spans(spark, sf_dir).groupBy("doc_id").agg(F.max("value").cast("int").alias("best"), F.sum("value").cast("long").alias("total"))
+
+
+@query("q_STR17", f"""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM benchmark),
+s AS (SELECT item_id, list_transform(range(1, len(w) - 3), lambda i: list_distinct(w[i:i + 4])) AS spans FROM t)
+SELECT item_id, len(list_reduce(spans, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(k, x))::DOUBLE / least(len(k), len(x)) >= 0.6)) > 0 THEN kept ELSE list_append(kept, x) END, CAST([] AS VARCHAR[][]))) AS at_06,
+  len(list_reduce(spans, lambda kept, x: CASE WHEN len(list_filter(kept, lambda k: len(list_intersect(k, x))::DOUBLE / least(len(k), len(x)) >= 0.7)) > 0 THEN kept ELSE list_append(kept, x) END, CAST([] AS VARCHAR[][]))) AS at_07 FROM s""")
+def distinct_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all stretches of five words of each text, in order, how many are chosen that share less than 0.6 or 0.7 of their words with any chosen before."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(text.ASCII_WORD), F.lit(0))
+    rows = items(spark, sf_dir).select("item_id", w.alias("w")).withColumn("spans", F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: i + 4 <= F.size("w")), lambda i: F.array_join(F.slice("w", i, 5), " ")))
+    chosen = lambda most: F.size(text.greedy_distinct(F.col("spans"), 1 << 30, most)).cast("long")
+    return rows.select("item_id", chosen(0.6).alias("at_06"), chosen(0.7).alias("at_07"))
 
 
 def _spans(spark: SparkSession, sf_dir: str, cues: list[str] | None = None) -> DataFrame:
-    spans = evidence.ranked(F.col("text"), windows=False)
-    rows = items(spark, sf_dir).select("item_id", (spans if cues is None else evidence.aligned(spans, cues)).alias("r"))
-    # a sentence that is one clause is a span twice; its best value counts
-    names = F.transform("r", lambda s: s["span"])
-    once = F.filter(F.transform("r", lambda s: F.struct((-s["value"]).alias("value"), s["span"].alias("span"))), lambda s, i: F.array_position(names, s["span"]) == i + 1)
-    return rows.select("item_id", F.posexplode(F.slice(once, 1, 3)).alias("i", "s")).select("item_id", "i", "s.value", "s.span")
+    spans = evidence.ranked(F.col("text"))
+    rows = dealt(items(spark, sf_dir), "item_id").select("item_id", (spans if cues is None else evidence.aligned(spans, cues)).alias("r"))
+    return rows.select("item_id", F.posexplode(_once(F.col("r"))).alias("i", "s")).select("item_id", "i", "s.value", "s.span")
 
 
-@query("q_SORT1", f"{SPANS_SQL} SELECT item_id, CAST(i - 1 AS INTEGER) AS i, CAST(value AS INTEGER) AS value, span FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY value DESC, length(span), lower(span)) AS i FROM r) WHERE i <= 3")
+@query("q_SORT1", f"{_spans_sql('benchmark', 'item_id', True)} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY value DESC, length(span), lower(span)) - 1 AS INTEGER) AS i, CAST(value AS INTEGER) AS value, lower(span) AS span FROM r")
 def best_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir)
+    """Every span of every item, stretches of words included, best first."""
+    return _spans(spark, sf_dir).withColumn("span", F.lower("span"))
 
 
-@query("q_SORT2", f"{SPANS_SQL} SELECT item_id, CAST(i - 1 AS INTEGER) AS i, CAST(value AS INTEGER) AS value, span FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, value DESC, length(span), lower(span)) AS i FROM (SELECT *, contains(lower(span), 'th')::INT + contains(lower(span), 'er')::INT AS hits FROM r) WHERE hits > 0) WHERE i <= 3")
+@query("q_SORT2", f"{_spans_sql('benchmark', 'item_id', True)} SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, value DESC, length(span), lower(span)) - 1 AS INTEGER) AS i, CAST(value AS INTEGER) AS value, lower(span) AS span FROM (SELECT *, contains(lower(span), 'th')::INT + contains(lower(span), 'er')::INT AS hits FROM r) WHERE hits > 0")
 def best_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir, ["th", "ER", "er"])
+    """Every span that cues occur in, those with more cues first."""
+    return _spans(spark, sf_dir, ["th", "ER", "er"]).withColumn("span", F.lower("span"))
 
 
 @query("q_STR21", "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN NULL ELSE 'e' || page_id END AS etag FROM pages")
