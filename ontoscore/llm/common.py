@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from xxhash import xxh3_64_intdigest
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that one vectorised step handles at once; bounds the worker's memory.
@@ -187,10 +188,40 @@ PLAIN = SPACE.copy()
 PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool, between: np.ndarray = SPACE, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 512
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+
+
+def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time, each step mixing what came before; words of up to eight bytes and one length never clash.
+
+    Unlike a polynomial modulo 2**64 no structure of long words (such as a sequence and its complement) makes them meet. Words of
+    LONG_WORD bytes and more are hashed by XXH3.
+    """
+    plain = np.concatenate([FOLD[data] if fold else data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", plain, strides=(1,))
+    size = (ends - starts).astype(np.uint64)
+    out = mix(size * np.uint64(BASE) + np.uint64(1))
+    left = np.flatnonzero(size < LONG_WORD)
+    at = 0
+    while len(left):
+        rest = size[left] - np.uint64(at)
+        block = eight[starts[left] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * np.minimum(rest, np.uint64(8))))
+        held = out[left]
+        out[left] = mix(held ^ block) + held * np.uint64(BASE)
+        at += 8
+        left = left[rest > 8]
+    for k in np.flatnonzero(size >= LONG_WORD).tolist():
+        out[k] = xxh3_64_intdigest(plain[starts[k] : ends[k]].tobytes())
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool, between: np.ndarray = SPACE, heads: tuple[int, ...] = (), strong: bool = False) -> tuple[np.ndarray, ...]:
     """Words [^\\x20\\x09-\\x0D]+ of the rows in a buffer: starts, ends, 64-bit hashes, and the first word of each row (len + 1).
 
-    fold: hash A-Z as a-z. between: the bytes that part words. heads: also, for each length, hashes of the words' first bytes (0 for
+    fold: hash A-Z as a-z. strong: hashes by word_ids(), for what is known by its hash alone. between: the bytes that part words. heads: also, for each length, hashes of the words' first bytes (0 for
     words that are no longer). Words never cross rows. Long rows are hashed in parts, so memory follows the words.
     """
     n = len(data)
@@ -204,6 +235,8 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool, between: np.ndarray
     first[edge] = solid[edge]
     last[edge - 1] = solid[edge - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if strong:
+        return starts, ends, word_ids(data, starts, ends, fold), np.searchsorted(starts, offsets)
     hashes, table, i = np.empty(len(starts), np.uint64), FOLDED if fold else BYTE, 0
     begun = [np.zeros(len(starts), np.uint64) for _ in heads]
     while i < len(starts):

@@ -34,7 +34,7 @@ BUCKETS, BINS = 40, 128
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes with START before and END after each row, and the rows' offsets in them."""
     data, offsets = text_buffer(text)
-    _, _, h, first = words(data, offsets, fold=True)
+    _, _, h, first = words(data, offsets, fold=True, strong=True)
     sizes = np.diff(first) + 2
     at = np.concatenate([[0], np.cumsum(sizes)])
     out = np.empty(at[-1], np.uint64)

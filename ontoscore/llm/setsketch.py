@@ -44,7 +44,7 @@ MULTIPLY, ADD = _SEED[:M] | np.uint64(1), _SEED[M:]
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row of a buffer; a text with fewer words is one shingle, one without words none."""
-    _, _, h, first = words(data, offsets, fold=True)
+    _, _, h, first = words(data, offsets, fold=True, strong=True)
     grams = gram_hash(h, width)
     out = []
     for i in range(len(offsets) - 1):

@@ -129,8 +129,8 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bit
     At most `sample` labelled ids of each class are taken; their features stay on the executors.
     """
     known = labels.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    part = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample) for k in range(2)]
-    sizes_of = {r["label"]: r["count"] for r in known.where("label in (0, 1)").groupBy("label").count().collect()}
+    part = [known.where((F.col("label") > 0) == bool(k)).orderBy(F.xxhash64("id"), "id").limit(sample) for k in range(2)]
+    sizes_of = {int(r["toxic"]): r["count"] for r in known.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
     chosen = F.broadcast(part[0].union(part[1]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("cols", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
@@ -151,7 +151,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, bit
 
 def _chosen(sampled: DataFrame, n1: int, n0: int) -> DataFrame:
     """col, used, marks: the features that tell the classes apart, as fit() takes them (used), and those that mark the toxic class."""
-    of_class = lambda k: F.count_if(F.col("label") == k)
+    of_class = lambda k: F.count_if((F.col("label") > 0) == bool(k))
     counts = sampled.select("label", F.explode("cols").alias("col")).groupBy("col").agg(of_class(1).alias("df1"), of_class(0).alias("df0"))
     total, share = F.col("df1") + F.col("df0"), (F.col("df1") + F.col("df0")) / F.lit(float(n1 + n0))
     error = F.sqrt(F.greatest(share * (1 - share) * F.lit(1 / n1 + 1 / n0), F.lit(1e-12)))
@@ -162,15 +162,17 @@ def _chosen(sampled: DataFrame, n1: int, n0: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", bits: int = BITS, sample: int = SAMPLE) -> Model:
-    """A model of three grades from binary labels. Conflicting labels of an id count as the larger; null labels and ids are left out.
+    """A model of three grades. Conflicting labels of an id count as the larger; null labels and ids are left out.
 
-    A labelled toxic text is severe (grade 2) if words that mark the class occur in it more often than in the median one. What tells
-    the classes apart is counted on the executors; the driver gets only those features of the sampled texts, however long they are.
+    Labels of 0 and less are not toxic; labels of 2 and more are severe (grade 2). Where there are none of those labels are binary, and a
+    toxic text is severe if words that mark the class occur in it more often than in the median one. What tells the classes apart is counted on the executors; the driver gets only those features of the sampled texts, however long they are.
     """
-    plain = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+    grade = F.col(label_col).cast("int")  # greatest() and least() pass over nulls
+    grade = F.when(grade.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(2), grade)))
+    plain = labels.select(F.col(label_id).cast("long").alias("id"), grade.alias("label"))
     sampled, share = _sampled(docs, plain, id_col, text_col, bits, sample)
     sizes = {r["label"]: r["count"] for r in sampled.groupBy("label").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    n1, n0 = sizes.get(1, 0) + sizes.get(2, 0), sizes.get(0, 0)
     if not n1 or not n0:  # nothing to tell apart
         grades = np.full(n1 + n0, 1 if n1 else 0)
         return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), grades, 3, 1 << bits)
@@ -180,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     label, load = got.column("label").to_numpy().astype(np.int64), got.column("load").to_numpy()
     lists = pa.concat_arrays(got.column("cols").chunks)
     rows = np.repeat(np.arange(len(label), dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
-    grades = np.where(label == 1, 1 + (load > np.median(load[label == 1])), 0)
-    return fit(rows, lists.flatten().to_numpy(), grades, 3, 1 << bits, counts=share[label])
+    grades = label if (label == 2).any() else np.where(label == 1, 1 + (load > np.median(load[label == 1])), 0)
+    return fit(rows, lists.flatten().to_numpy(), grades, 3, 1 << bits, counts=share[(label > 0).astype(int)])
 
 
 def _score(model, bits: int, threshold: float, act):

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -436,3 +437,48 @@ def test_conversations(spark):
     got = {(r["call_id"], r["status"]) for r in link(calls_of(df), results_of(df), CHAT_SCHEMAS).collect()}
     assert got == {("1:0", "ok"), ("1:2", "invalid"), ("1:4", "invalid"), ("2:0", "orphan"), (None, "unanswered")}
     assert link(calls_of(df.limit(0)), results_of(df.limit(0)), CHAT_SCHEMAS).count() == 0
+
+
+# ---------------------------------------------------------------- toxicity, plainly
+
+
+def _mixed(x):
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * by % 2**64
+    return x ^ x >> 31
+
+
+def _plain_features(text):
+    """The places of a text's words and word beginnings, with plain integers."""
+    from ontoscore.llm.common import BASE
+
+    out = set()
+    for word in re.findall(rb"[^\x00-\x20\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|[\x00-\x08\x0e-\x1f]+", (text or "").encode()):
+        letters = [_mixed((b + 1) * BASE % 2**64) for b in word.lower()]
+        summed = lambda n: sum(x * pow(BASE, i, 2**64) for i, x in enumerate(letters[:n]))
+        out.add(_mixed((summed(len(word)) + len(word)) % 2**64) >> 64 - toxicity.BITS)
+        out |= {_mixed((summed(n) + (n << 32)) % 2**64) >> 64 - toxicity.BITS for n in toxicity.HEADS if len(word) > n}
+    return out
+
+
+def test_scores_are_those_of_plain_sums(spark):
+    """score() over whole texts: each word and each beginning once, their weights summed, against every threshold."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    for r in toxicity.score(docs, model).collect():
+        s = sum(model.weights[k] for k in _plain_features(texts[r["doc_id"]]))
+        chances = [1 / (1 + math.exp(min(60, max(-60, t - s)))) for t in model.thresholds]
+        assert (r["severity"], r["p_any"], r["p_severe"], r["toxic"]) == (pytest.approx(sum(chances), abs=1e-9), pytest.approx(chances[0], abs=1e-9), pytest.approx(chances[-1], abs=1e-9), r["toxic"])
+        assert abs(chances[0] - 0.5) < 1e-9 or r["toxic"] == (chances[0] > 0.5)
+
+
+def test_grades_of_any_height_are_used(spark):
+    """Labels of 2 and more are severe, those below 0 are not toxic; no label is left out but null ones."""
+    texts = ["plain words here"] * 40 + ["plain vile words"] * 40 + ["plain vile atrocious words"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, -1 if i < 20 else 0 if i < 40 else 1 if i < 80 else 2 + i % 3) for i in range(120)] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    assert got[0]["severity"] < 0.3 < 0.7 < got[50]["severity"] < 1.3 < 1.7 < got[100]["severity"]
+    assert not got[0]["toxic"] and got[50]["toxic"] and got[100]["toxic"]

@@ -185,3 +185,25 @@ def test_whole_short_items(spark):
         assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in leaks(d, b, block_bytes=block, whole_short=True).collect()} == {(1, 9, 1.0), (4, 9, 1.0)}
         assert {r["doc_id"] for r in decontaminate(d, b, block_bytes=block, whole_short=True).collect()} == {2, 3}
     assert leaks(d, b).count() == 0
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements: equal modulo 2**64 for any odd base, but not to the hash of words."""
+    import numpy as np
+
+    from ontoscore.llm.common import word_ids
+    from ontoscore.llm.lm import score
+    from ontoscore.llm.setsketch import near_duplicates
+
+    morse = lambda n: "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    texts = [t for n in (256, 1024, 4096, 8192) for t in (morse(n), morse(n).translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, node string")
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs, width=4, percent=80).collect()} == {(i, i, True) for i in range(len(texts))}
+    known = {r["doc_id"]: (r["held_out"], r["n_known"]) for r in score(docs).collect()}
+    assert all(n == (1 if held else 2) for held, n in known.values()) and any(held for held, _ in known.values())
+    every = sorted({f"{a}{b}{'x' * k}" for a in "abABé" for b in ("", "q", "qqqqqqqq") for k in range(30)})
+    data = np.frombuffer(" ".join(every).encode(), np.uint8)
+    ends = np.cumsum([len(w.encode()) + 1 for w in every]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    assert len(set(word_ids(data, starts, ends, False).tolist())) == len(every)
+    assert len(set(word_ids(data, starts, ends, True).tolist())) == len({w.lower() for w in every})
