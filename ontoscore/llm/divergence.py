@@ -24,7 +24,7 @@ from ontoscore.llm.common import LOWER, UPPER, discard, materialise, ranked
 #: Documents that hold a kept term; parts of the whole; what is added to each count; terms reported for a source.
 DOCS, PARTS, PRIOR, TOP = 30, 1_000_000_000, 5, 50
 #: Bytes that are split into terms at once, terms that a task counts before it hands them on, cells of a chunk, and its most terms.
-SLICE, HELD, CELLS, WIDTH = 1 << 20, 200_000, 1 << 22, 1 << 16
+SLICE, HELD, CELLS, WIDTH = 1 << 20, 200_000, 1 << 22, 1 << 11
 #: ASCII but letters parts terms; A-Z count as a-z.
 TERM = bytes.maketrans(bytes([b for b in range(128) if not chr(b).isalpha()]) + UPPER.encode(), b" " * 76 + LOWER.encode())
 COUNTED = "lang string, source string, term string, n long, docs long"
