@@ -21,18 +21,31 @@ SENTENCE_END = r"[.;:\n]+"
 CLAUSE_END = r"(?i)[.;:\n]+|,\s+|—|–|\s+(?:where|while|because|which|so that|rather than|whereby)\s+"
 TAIL = r"[\s,;:.\-—–]+$"
 #: Words that do not count as content.
-STOPWORDS = """the a an and or but with from that this these those there where when while because rather it its their they of to in on as is are be by also
-how why what which who for at into than then so such both more most some any can may might would could should will shall not no nor only very much""".split()
+STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "with", "from", "that", "this", "these", "those", "there", "where", "when", "while", "because", "rather",
+    "it", "its", "their", "they", "of", "to", "in", "on", "as", "is", "are", "be", "by", "also", "how", "why", "what", "which", "who", "for", "at",
+    "into", "than", "then", "so", "such", "both", "more", "most", "some", "any", "can", "may", "might", "would", "could", "should", "will", "shall",
+    "not", "no", "nor", "only", "very", "much",
+]
 #: Words that a window may not begin or end with.
-EDGE_WORDS = "the a an and or but with from that this these those there where when while because rather it its their they of to in on as is are by also".split()
+EDGE_WORDS = [
+    "the", "a", "an", "and", "or", "but", "with", "from", "that", "this", "these", "those", "there", "where", "when", "while", "because", "rather",
+    "it", "its", "their", "they", "of", "to", "in", "on", "as", "is", "are", "by", "also",
+]
 #: Words that are cut off a span's beginning.
-LEAD_WORDS = "and but or the a an that which where while because of to in on as is are by also so then when this these those it its their they for with".split()
+LEAD_WORDS = [
+    "and", "but", "or", "the", "a", "an", "that", "which", "where", "while", "because", "of", "to", "in", "on", "as", "is", "are", "by", "also", "so",
+    "then", "when", "this", "these", "those", "it", "its", "their", "they", "for", "with",
+]
 GENERIC = r"(?i)^(the|this|that|its|their|his|her|an?)\s+\w+('s)?\s+(framing|perspective|approach|view|tone|response|construction|way|nature|thing|point)s?$"
 #: Stems of the domain's terms.
-DOMAIN = """class labor labour capital worker employee employer owner property production wage surplus value power control state law regulat institution ideolog
-market formal equal stakeholder symmetr conflict contradiction exploit rent housing vacan homeless ai algorithm management training policy deployment compute
-cloud chip supply imperial ghana automation productivity accumulation speculat commodif zoning gentrif displac scarcity efficien incentive price demand norm
-governance reform redistribut""".split()
+DOMAIN = [
+    "class", "labor", "labour", "capital", "worker", "employee", "employer", "owner", "property", "production", "wage", "surplus", "value", "power",
+    "control", "state", "law", "regulat", "institution", "ideolog", "market", "formal", "equal", "stakeholder", "symmetr", "conflict",
+    "contradiction", "exploit", "rent", "housing", "vacan", "homeless", "ai", "algorithm", "management", "training", "policy", "deployment",
+    "compute", "cloud", "chip", "supply", "imperial", "ghana", "automation", "productivity", "accumulation", "speculat", "commodif", "zoning",
+    "gentrif", "displac", "scarcity", "efficien", "incentive", "price", "demand", "norm", "governance", "reform", "redistribut",
+]
 # End of fixed values.
 
 
