@@ -134,6 +134,8 @@ class Index:
         order = np.argsort(self.grams, kind="stable")
         self.grams = self.grams[order]
         self.item = np.concatenate(item)[order] if grams else order
+        self.at = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else order
+        self.size = np.array([len(x) for x in self.hashes], np.int64)
         bits = max(16, int(len(self.grams) * 16).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.filter = np.zeros(1 << bits, bool)
@@ -147,8 +149,28 @@ class Index:
         at = np.searchsorted(self.grams, grams[maybe])
         return maybe[self.grams[np.minimum(at, len(self.grams) - 1)] == grams[maybe]]
 
-    def matches(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(row, item, tiles) for each row of a buffer and item that share a seed; places in the text count words."""
+    def coverable(self, keys: np.ndarray, coverage: float) -> np.ndarray:
+        """The items of which grams among `keys` (distinct, sorted) cover a share of `coverage` or more: no tiles can cover more than these do.
+
+        Each gram is looked up once; what a seed costs an item that is not tiled is a few numbers in arrays.
+        """
+        a, b = np.searchsorted(self.grams, keys), np.searchsorted(self.grams, keys, "right")
+        n = b - a
+        entries = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        item, at = self.item[entries], self.at[entries]
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        new = np.flatnonzero(np.diff(item, prepend=-1))
+        step = np.minimum(np.diff(at, append=0), self.match)
+        step[np.append(new[1:], len(item)) - 1] = self.match  # the last gram of an item counts in full
+        covered = np.add.reduceat(step, new)
+        return item[new][covered >= coverage * self.size[item[new]]]
+
+    def matches(self, data: np.ndarray, offsets: np.ndarray, coverage: float = 0) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(row, item, tiles) for each row of a buffer and item that share a seed; places in the text count words.
+
+        Items of which the seeds in a text cannot cover a share of `coverage` are left out; others may be covered by less.
+        """
         starts, ends, h, first = words(data, offsets, fold=True)
         for k in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < self.match)).tolist() if self.short else ():
             text = data[starts[first[k]] : ends[first[k + 1] - 1]].tobytes().lower().split()
@@ -166,10 +188,9 @@ class Index:
             own = hits[lo_hit:hi_hit]
             k = int(row[lo_hit])
             lo, hi = int(first[k]), int(first[k + 1])
-            # the items that share a seed: each distinct gram is looked up once
-            keys = np.unique(grams[own])
-            a, b = np.searchsorted(self.grams, keys), np.searchsorted(self.grams, keys, "right")
-            met = np.unique(np.concatenate([self.item[s:e] for s, e in zip(a.tolist(), b.tolist(), strict=True)]))
+            met = self.coverable(np.unique(grams[own]), coverage)
+            if not len(met):
+                continue
             text = data[starts[lo] : ends[hi - 1]].tobytes().lower().split()
             for i in met.tolist():
                 at = own[np.isin(grams[own], self.own[i])]
@@ -214,7 +235,7 @@ def _scan(index: Index, coverage: float, act: Callable) -> Callable[[Iterator[pa
             data, offsets = text_buffer(batch.column("text"))
             found = []
             for i, j in chunks(offsets):
-                for k, item, got in index.value.matches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
+                for k, item, got in index.value.matches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], coverage):
                     key, item_words = index.value.items[item]
                     n = sum(t[2] for t in got)
                     if n >= coverage * len(item_words):

@@ -207,3 +207,47 @@ def test_words_that_polynomials_confuse(spark):
     starts = np.concatenate([[0], ends[:-1] + 1])
     assert len(set(word_ids(data, starts, ends, False).tolist())) == len(every)
     assert len(set(word_ids(data, starts, ends, True).tolist())) == len({w.lower() for w in every})
+
+
+def test_items_that_seeds_cannot_cover_are_not_tiled(monkeypatch):
+    """A phrase in all items makes no work for each; what is left out could not have reached the coverage."""
+    import time
+
+    from ontoscore.llm import decontam
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(3))
+    phrase = "which of the following is"
+    items = [(i, " ".join([word() for _ in range(8)] + [phrase] + [word() for _ in range(r.randint(0, 30))])) for i in range(4000)]
+    index = Index(items, 5)
+    text = " ".join([word() for _ in range(200)] + [phrase] + [word() for _ in range(200)] + [items[7][1]])
+    data = np.frombuffer(text.encode(), np.uint8)
+    tiled, plain = [], decontam.tiled
+    monkeypatch.setattr(decontam, "tiled", lambda *x: tiled.append(1) or plain(*x))
+    start = time.perf_counter()
+    found = {(i, sum(t[2] for t in got)) for _, i, got in index.matches(data, np.array([0, len(data)]), 0.5)}
+    assert time.perf_counter() - start < 0.5 and len(tiled) < 10
+    assert (7, len(items[7][1].split())) in found
+    # every item that tiles cover by half or more is among them
+    few = Index(items[:300], 5)
+    every = {(i, sum(t[2] for t in got)) for _, i, got in few.matches(data, np.array([0, len(data)]))}
+    reached = lambda rows: {(i, n) for i, n in rows if n >= 0.5 * len(items[i][1].split())}
+    assert len(every) == 300 and reached(every) == reached({x for x in found if x[0] < 300})
+
+
+@pytest.mark.parametrize("coverage", [0.0, 0.3, 0.5, 1.0])
+def test_coverable_items_are_bounded_by_their_seeds(coverage):
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 20)))) for i in range(80)]
+    index = Index(items, 3)
+    for _ in range(60):
+        text = [r.choice("abc") for _ in range(r.randint(3, 9))]
+        seeds = {tuple(text[i : i + 3]) for i in range(len(text) - 2)}
+        want = []
+        for i, (_, t) in enumerate(items):
+            w = t.split()
+            covered = {j + k for j in range(len(w) - 2) if tuple(w[j : j + 3]) in seeds for k in range(3)}
+            if covered and len(covered) >= coverage * len(w):
+                want.append(i)
+        one = Index([(0, " ".join(text))], 3)
+        assert index.coverable(np.unique(one.grams[np.isin(one.grams, index.grams)]), coverage).tolist() == want if want or seeds else True
