@@ -152,8 +152,9 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have one id and do not count against each other. A long text is looked at whole, in parts that overlap. An empty table gives an
     empty result; other columns are ignored.
     """
-    docs, segments = candidates(keyed(docs, id_col, text_col), Unit("word", window, min(GRAM, window)), by_document=True)
-    found = resolved(segments, lambda group: parse_group(group, window), BATCH)
+    unit = Unit("word", window, min(GRAM, window))
+    docs, segments = candidates(keyed(docs, id_col, text_col), unit, by_document=True)
+    found = resolved(segments, unit, lambda group: parse_group(group, window), BATCH)
     windows = spans_of(segments, found, lambda own, piece: own > piece["first_id"])
     joined = docs.join(windows, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "spans")
     return joined.mapInArrow(_remove(window, with_text), KEPT).select("doc_id", "n_words", "n_removed", "kept_sha256", "spans", *["kept"] * with_text)

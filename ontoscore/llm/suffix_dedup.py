@@ -179,7 +179,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def work(group: list[dict]) -> list[list[tuple[int, int]]]:
         return repeats([r["seg"] for r in group], [r["n"] for r in group], length)
 
-    found = resolved(segments, work, BATCH)
+    found = resolved(segments, unit, work, BATCH)
     windows = spans_of(segments, found, lambda _, piece: piece["copies"] > 1)
     more = ["rest"] * with_rest
     joined = docs.join(windows, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "spans", *more)

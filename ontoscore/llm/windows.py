@@ -6,7 +6,9 @@ whose anchor occurs twice can hold a repeat. A first pass ships anchors alone; a
 equal segments combined where they are made. An anchor with many runs is hot: its runs are cut into pieces of PIECE windows that
 are grouped by the bytes all windows of the piece share, so what only touches a frequent passage falls away from it and what lies
 in it combines to one row. Those bytes follow from each window's own leftmost anchor, so equal windows meet whatever run they are
-in. No run is dropped or capped.
+in. Pieces on the edges of a passage differ with what stands beside it; a group of them that is crowded parts into single windows, each
+named by 128 bits of all its bytes, so that equal windows still meet and no group grows with the number of documents. No run is
+dropped or capped.
 """
 
 from __future__ import annotations
@@ -28,9 +30,14 @@ MOST = 8192
 PIECE = 8
 #: An anchor with more runs, or more units in them, than this is hot; so one task sorts some MB for an anchor at most.
 HOT, HOT_UNITS = 4000, 4 << 20
+#: A group of pieces of hot runs with more rows than this is crowded. A run that isn't hot shares its group with fewer.
+CROWDED = 8000
+#: Parts in which pieces look up the windows they hold; crowded groups, eight bytes each, that are broadcast at most.
+SALTS, SENT = 16, 1 << 20
 
 RUNS = "k1 long, k2 long, id long, h long, s0 int, n int, a int, c int"
-#: kind 0: places of a run (h, run) in documents; 1: pieces (g, fp), of which a run that isn't hot is one; 2: pieces of a hot run.
+#: kind 0: places of a run (h, run) in documents; 1: pieces (g, fp), of which a run that isn't hot is one (run: 1 for those of hot
+#: runs, else 0); 2: pieces of a hot run.
 SEGMENTS = "kind int, h long, run long, g long, fp long, k1 long, k2 long, id long, s0 int, n int, copies long, seg binary"
 
 
@@ -157,7 +164,7 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
         def flush() -> pa.RecordBatch:
             nonlocal made, known, rows, held
-            rows += [(1, 0, 0, g, fp, 0, 0, v[1], 0, v[2], v[0], v[3]) for (g, fp), v in made.items()]
+            rows += [(1, 0, v[4], g, fp, 0, 0, v[1], 0, v[2], v[0], v[3]) for (g, fp), v in made.items()]
             out = record(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
             made, known, rows, held = {}, {}, [], 0
             return out
@@ -197,7 +204,7 @@ def _cut(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                                     rows.append((2, *name, *key, 0, 0, 0, s - first, m, 0, None))
                                     held += 150
                                 if key not in made:
-                                    made[key] = [0, ids[x], m, seg]
+                                    made[key] = [0, ids[x], m, seg, int(core is not None)]
                                     held += len(seg) + 200
                                 parts.append(key)
                         for key in parts:
@@ -257,11 +264,50 @@ def groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[dict]]
         yield batch
 
 
+PARTED = "g long, fp long, at int, w1 long, w2 long, copies long, id long"
+
+
+def _part(unit: Unit) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(PARTED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                cut = r["seg"] if unit.name == "byte" else r["seg"].split(b" ")
+                for at in range(r["n"]):
+                    window = cut[at : at + unit.window]
+                    name = xxhash.xxh3_128_intdigest(window if unit.name == "byte" else b" ".join(window))
+                    rows.append((r["g"], r["fp"], at, (name >> 64) - (1 << 63), (name & (1 << 64) - 1) - (1 << 63), r["copies"], r["id"]))
+            if rows:
+                yield record(schema, **dict(zip(schema.names, map(list, zip(*rows, strict=True)), strict=True)))
+
+    return run
+
+
+def parted(pieces: DataFrame, unit: Unit) -> DataFrame:
+    """g, fp, at, copies, first_id: the windows (at: place in the piece) of crowded pieces that occur more than once.
+
+    Only names of windows move. A window that most pieces of a group hold is counted where they lie, and looked up in SALTS parts.
+    """
+    windows = materialise(pieces.mapInArrow(_part(unit), PARTED), "windows")
+    again = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("all"), F.min("id").alias("first_id")).where(F.col("all") > 1)
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = windows.select("g", "fp", "at", "w1", "w2", F.pmod("fp", F.lit(SALTS)).cast("long").alias("salt"))
+    return own.join(again, ["w1", "w2", "salt"]).select("g", "fp", "at", F.col("all").alias("copies"), "first_id").distinct()
+
+
 RESULTS = "g long, fp long, spans array<struct<s:int,n:int>>, copies long, first_id long"
 
 
-def resolved(segments: DataFrame, work: Callable[[list[dict]], list[list[tuple[int, int]]]], most: int) -> DataFrame:
-    """For each distinct segment the spans of its windows that `work` finds repeated elsewhere in its group, its copies and least id."""
+def resolved(segments: DataFrame, unit: Unit, work: Callable[[list[dict]], list[list[tuple[int, int]]]], most: int) -> DataFrame:
+    """For each distinct segment the spans of its windows that `work` finds repeated elsewhere in its group, its copies and least id (at: null);
+    for segments of crowded groups a row for each window that occurs more than once."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -274,8 +320,18 @@ def resolved(segments: DataFrame, work: Callable[[list[dict]], list[list[tuple[i
             if kept:
                 yield record(schema, **dict(zip(schema.names, map(list, zip(*kept, strict=True)), strict=True)))
 
-    text = segments.where("kind = 1").select("g", "fp", "n", "copies", "id", "seg")
-    return text.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, RESULTS)
+    text = segments.where("kind = 1").select("g", "fp", "run", "n", "copies", "id", "seg")
+    crowded = materialise(segments.where("kind = 1 AND run = 1").groupBy("g", "run").count().where(F.col("count") > CROWDED).select("g", "run"), "crowded")
+    many, windows = crowded.count(), None
+    if many:
+        crowded = F.broadcast(crowded) if many <= SENT else crowded
+        windows = parted(text.join(crowded, ["g", "run"], "left_semi"), unit)
+        text = text.join(crowded, ["g", "run"], "left_anti")
+    found = text.drop("run").repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, RESULTS).withColumn("at", F.lit(None).cast("int"))
+    if windows is None:
+        return found
+    none = F.array().cast("array<struct<s:int,n:int>>")
+    return found.unionByName(windows.withColumn("spans", none))
 
 
 def spans_of(segments: DataFrame, found: DataFrame, whole: Callable[[Column, Column], Column]) -> DataFrame:
@@ -283,8 +339,9 @@ def spans_of(segments: DataFrame, found: DataFrame, whole: Callable[[Column, Col
     found = materialise(found, "resolved")  # it is joined twice
     piece = lambda off, n: F.array(F.struct(off.alias("off"), n.alias("n"), "spans", "copies", "first_id"))
     cut = segments.where("kind = 2").select("h", "run", "g", "fp", "s0", "n").distinct().join(found, ["g", "fp"])
-    hot = cut.groupBy("h", "run").agg(F.flatten(F.collect_list(piece(F.col("s0"), F.col("n")))).alias("pieces"))
-    plain = found.select(F.col("g").alias("h"), F.col("fp").alias("run"), piece(F.lit(0), F.lit(-1)).alias("pieces"))
+    off, n = F.col("s0") + F.coalesce("at", F.lit(0)), F.when(F.col("at").isNull(), F.col("n")).otherwise(1)
+    hot = cut.groupBy("h", "run").agg(F.flatten(F.collect_list(piece(off, n))).alias("pieces"))
+    plain = found.where("at IS NULL").select(F.col("g").alias("h"), F.col("fp").alias("run"), piece(F.lit(0), F.lit(-1)).alias("pieces"))
     places = segments.where("kind = 0").select("h", "run", "k1", "k2", "id", "s0", "n")
 
     def placed(x: Column) -> Column:

@@ -197,3 +197,27 @@ def test_anchors_with_many_bytes_are_cut(spark, monkeypatch, units):
     assert Counter(tuple(r) for r in got.collect()) == brute_bytes(rows, 30)
     got = remove_passages(table(spark, rows), window=9).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert Counter(tuple(r) for r in got.collect()) == brute_words(rows, 9)
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_crowded_groups_part_into_windows(spark, monkeypatch, seed):
+    """One passage between texts that all differ: pieces on its edges are as many as documents, and meet window by window."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 4)))
+    passage = " ".join(word() for _ in range(16))
+    rows = [(i if i % 7 else None, " ".join([word() for _ in range(9)]) + f" {passage} " + " ".join(word() for _ in range(9))) for i in range(60)]
+    rows += [(100 + i, f"{'ab' * 40} {r.choice('xyz')} {passage} {'ab' * 40}") for i in range(20)] + [rows[5], (200, None), (201, "")]
+    r.shuffle(rows)
+    made = []
+    plain = windows.parted
+    monkeypatch.setattr(windows, "parted", lambda *x: made.append(plain(*x)) or made[-1])
+    monkeypatch.setattr(windows, "HOT", 3)
+    monkeypatch.setattr(windows, "SALTS", 3)
+    for crowded, sent in ((2, 1 << 20), (0, 0)):
+        monkeypatch.setattr(windows, "CROWDED", crowded)
+        monkeypatch.setattr(windows, "SENT", sent)
+        got = remove_repeats(table(spark, rows), length=30).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        assert Counter(tuple(x) for x in got.collect()) == brute_bytes(rows, 30)
+        got = remove_passages(table(spark, rows), window=9).select("doc_id", "n_words", "n_removed", "kept_sha256")
+        assert Counter(tuple(x) for x in got.collect()) == brute_words(rows, 9)
+    assert len(made) == 4
