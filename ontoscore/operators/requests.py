@@ -136,11 +136,15 @@ def report_metrics(claims: DataFrame, relations: DataFrame, responses: DataFrame
 
     claims: response_id, feature_id, feature_group, status, causal_role, evidence; banks: response_id, feature_id, bank.
     """
-    x = claims.join(responses.select("response_id", "text"), "response_id", "left").join(banks.select("response_id", "feature_id", "bank"), ["response_id", "feature_id"], "left")
     spans = F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda s: s != "")
-    good = F.size(F.filter(spans, lambda s: F.coalesce(F.contains(F.col("text"), s), F.lit(False))))
-    own = F.when(F.col("feature_group") == "accuracy", 0).otherwise(F.size(F.filter(spans, lambda s: F.coalesce(F.array_contains("bank", s), F.lit(False)))))
-    every = F.size(spans)
+    good_ = F.size(F.filter(spans, lambda s: F.coalesce(F.contains(F.col("text"), s), F.lit(False))))
+    # texts, then banks go to the claims by response, so claims move once and no text is taken along
+    x = claims.join(responses.select("response_id", "text"), "response_id", "left").select("response_id", "feature_id", "feature_group", "status", "causal_role", spans.alias("spans"), good_.alias("good"))
+    of_response = banks.groupBy("response_id").agg(F.collect_list(F.struct("feature_id", "bank")).alias("banks"))
+    mine = F.transform(F.filter("banks", lambda b: b["feature_id"] == F.col("feature_id")), lambda b: b["bank"])
+    x = x.join(of_response, "response_id", "left").select("response_id", "feature_group", "status", "causal_role", "spans", "good", F.explode_outer(mine).alias("bank"))
+    good, every = F.col("good"), F.size("spans")
+    own = F.when(F.col("feature_group") == "accuracy", 0).otherwise(F.size(F.filter("spans", lambda s: F.coalesce(F.array_contains("bank", s), F.lit(False)))))
     counted = x.groupBy("response_id").agg(
         F.count("*").alias("n_claims"), F.count_if(F.col("status") == "true").alias("n_true"), F.sum(good).alias("exact_ok"), F.sum(every - good).alias("exact_bad"),
         F.sum(own).alias("fs_ok"), F.sum(F.when(F.col("feature_group") == "accuracy", 0).otherwise(every - own)).alias("fs_bad"),
