@@ -24,67 +24,72 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Assembly(StatefulProcessor):
-    """wait: milliseconds of event time after which a request without all its jobs is late."""
+    """wait: milliseconds of event time after which a request without all its jobs is late.
+
+    Every call to the state goes to the JVM and back, so a request's state is one value: it is read once and written once for each batch
+    that has results of it, however many these are.
+    """
 
     def __init__(self, wait: int) -> None:
         self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "slot string", "line_no long, body string")
-        self.done = handle.getMapState("done", "job_id string", "ok boolean")
-        self.head = handle.getValueState("head", "version long, n_ok long, n_expected long, last long")
+        # parts: {slot: [line_no, body]} as JSON text; done: the ids of good jobs as JSON text; timer: when it is due, 0 for none
+        self.request = handle.getValueState("request", "version long, n_ok long, n_expected long, last long, timer long, parts string, done string")
 
-    def put(self, slot: str, line: int, body: str, last: bool = True) -> None:
+    def put(self, parts: dict, slot: str, line: int, body: str, last: bool = True) -> None:
         """Keeps the body of the highest line (last) or the lowest; of one line the one that is put last."""
-        if self.parts.containsKey((slot,)):
-            known = self.parts.getValue((slot,))[0]
+        if slot in parts:
+            known = parts[slot][0]
             if (known > line) if last else (known <= line):
                 return
-        self.parts.updateValue((slot,), (line, body))
+        parts[slot] = [line, body]
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        version, n_ok, expected, last = self.head.get() if self.head.exists() else (0, 0, 0, 0)
+        version, n_ok, expected, last, timer, parts, done = self.request.get() or (0, 0, 0, 0, 0, "{}", "[]")
+        parts, done = json.loads(parts), dict.fromkeys(json.loads(done))
         for r in rows:
             version += 1
             expected, last = r.n_expected, max(last, int(r.at.timestamp() * 1000))
             if not r.ok:
-                self.put(f"failed:{r.line_no:020d}", r.line_no, json.dumps({"job_id": r.job_id, "error": r.error}, ensure_ascii=False))
+                self.put(parts, f"failed:{r.line_no:020d}", r.line_no, json.dumps({"job_id": r.job_id, "error": r.error}, ensure_ascii=False))
                 continue
             n_ok += 1
-            self.done.updateValue((r.job_id,), (True,))
+            done[r.job_id] = None
             body = json.loads(r.payload) if r.payload else None
             if r.job_type in ("feature", "feature_group"):
                 for c in body or []:
                     if c.get("claim_index") is not None:
-                        self.put(f"claim:{c['claim_index']:010d}", r.line_no, json.dumps(c, ensure_ascii=False, sort_keys=True))
+                        self.put(parts, f"claim:{c['claim_index']:010d}", r.line_no, json.dumps(c, ensure_ascii=False, sort_keys=True))
             elif r.job_type == "relation" and body:
-                self.put(f"relation:{body['relation_type']}", r.line_no, json.dumps(body, ensure_ascii=False, sort_keys=True))
+                self.put(parts, f"relation:{body['relation_type']}", r.line_no, json.dumps(body, ensure_ascii=False, sort_keys=True))
             elif r.job_type == "factual" and body:
-                self.put(f"fact:{r.line_no:020d}", r.line_no, json.dumps(body, ensure_ascii=False, sort_keys=True))
+                self.put(parts, f"fact:{r.line_no:020d}", r.line_no, json.dumps(body, ensure_ascii=False, sort_keys=True))
             elif r.job_type == "semantic" and body:
-                self.put("semantic", r.line_no, json.dumps(body, ensure_ascii=False, sort_keys=True), last=False)
-        self.head.update((version, n_ok, expected, last))
-        for timer in list(self.handle.listTimers()):
+                self.put(parts, "semantic", r.line_no, json.dumps(body, ensure_ascii=False, sort_keys=True), last=False)
+        row = self.row(key[0], version, n_ok, len(done) >= expected, parts, False)
+        due = 0 if row.complete else last + self.wait
+        if timer and timer != due:
             self.handle.deleteTimer(timer)
-        row = self.row(key[0], False)
-        if not row.complete:
-            self.handle.registerTimer(last + self.wait)
+        if due and timer != due:
+            self.handle.registerTimer(due)
+        self.request.update((version, n_ok, expected, last, due, json.dumps(parts), json.dumps(list(done))))
         yield row
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        row = self.row(key[0], True)
+        version, n_ok, expected, last, _, parts, done = self.request.get()
+        self.request.update((version, n_ok, expected, last, 0, parts, done))
+        row = self.row(key[0], version, n_ok, len(json.loads(done)) >= expected, json.loads(parts), True)
         if not row.complete:
             yield row
 
-    def row(self, custom_id: str, late: bool) -> Row:
-        version, n_ok, expected, _ = self.head.get()
-        parts = {slot[0]: body for slot, (_, body) in self.parts.iterator()}
-        of = lambda kind: [parts[s] for s in sorted(parts) if s.startswith(kind + ":")]
+    def row(self, custom_id: str, version: int, n_ok: int, complete: bool, parts: dict, late: bool) -> Row:
+        of = lambda kind: [parts[s][1] for s in sorted(parts) if s.startswith(kind + ":")]
         listed = lambda bodies: "[" + ",".join(bodies) + "]"
-        relations = [parts[f"relation:{t}"] for t in RELATIONS if f"relation:{t}" in parts]
-        n_done = sum(1 for _ in self.done.keys())
-        return Row(custom_id=custom_id, version=version, n_ok=n_ok, complete=n_done >= expected, late=late, claims=listed(of("claim")), relations=listed(relations), facts=listed(of("fact")), semantic=parts.get("semantic"), failed=listed(of("failed")))
+        relations = [parts[f"relation:{t}"][1] for t in RELATIONS if f"relation:{t}" in parts]
+        semantic = parts["semantic"][1] if "semantic" in parts else None
+        return Row(custom_id=custom_id, version=version, n_ok=n_ok, complete=complete, late=late, claims=listed(of("claim")), relations=listed(relations), facts=listed(of("fact")), semantic=semantic, failed=listed(of("failed")))
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ import datetime
 import json
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ontoscore.fixed import RELATIONS
@@ -77,3 +78,32 @@ def test_late_requests(spark, tmp_path):
         arriving.run(spark.readStream.schema(arriving.RESULT).parquet(source), target, check, late="1 hour").awaitTermination()
     assert {(r["custom_id"], r["complete"], r["late"]) for r in arriving.latest(spark.read.parquet(target)).collect()} == {("a", False, True), ("b", True, False), ("c", False, False)}
     assert spark.read.parquet(target).where(F.col("late")).count() == 1
+
+
+class Counted:
+    """A state and its timers in a dictionary; every call is counted, since each goes to the JVM and back."""
+
+    def __init__(self):
+        self.calls, self.values, self.timers = 0, {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {"getValueState": lambda *a: self, "getMapState": lambda *a: self, "get": lambda: self.values.get("v"), "exists": lambda: "v" in self.values, "containsKey": lambda k: k in self.values,
+                    "getValue": lambda k: self.values[k], "updateValue": self.values.__setitem__, "update": lambda v: self.values.__setitem__("v", v), "iterator": lambda: iter([(k, v) for k, v in self.values.items() if k != "v"]),
+                    "keys": lambda: iter(()), "listTimers": lambda: iter(self.timers), "registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name](*args)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_results():
+    rows = [Row(**dict(zip([c.split()[0] for c in arriving.RESULT.split(", ")], r, strict=True))) for r in made(4) if r[1] == "b"]
+    state, assembly = Counted(), arriving.Assembly(1000)
+    assembly.init(state)
+    state.calls = 0
+    out = [list(assembly.handleInputRows(("b",), iter(part), None))[0] for part in (rows[:4], rows[4:])]
+    assert state.calls <= 8 and len(rows) > 12
+    assert (out[-1].version, out[-1].n_ok) == plain(made(4))["b"][:2]
+    assert state.timers == (set() if out[-1].complete else {int(max(r.at for r in rows).timestamp() * 1000) + 1000})
+    late = list(assembly.handleExpiredTimer(("b",), None, None))
+    assert [r.late for r in late] == [True] * (not out[-1].complete)
