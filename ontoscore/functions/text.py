@@ -14,7 +14,8 @@ from pyspark.sql.types import StringType
 
 #: A word: letters, digits and underscores, with apostrophes and hyphens inside.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_’'-]*[\p{L}\p{N}_])?"
-ASCII_WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
+# Groups are repeated with ++ and *+: Java runs these as loops, while + and * take a piece of the stack for each repetition.
+ASCII_WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*+"
 # Patterns and word lists that spans of evidence follow.
 QUOTED = r"[\"“”]([^\"“”]{2,140})[\"“”]"
 SENTENCE_END = r"[.;:\n]+"
@@ -151,7 +152,7 @@ def trimmed_span(span: Column) -> Column:
 
 def without_lead(span: Column) -> Column:
     """Without leading function words; enough for spans that begin and end with a word."""
-    return F.regexp_replace(span, r"(?i)^(?:(?:" + "|".join(LEAD_WORDS) + r")\b[\s,]*)+", "")
+    return F.regexp_replace(span, r"(?i)^(?:(?:" + "|".join(LEAD_WORDS) + r")\b[\s,]*)++", "")
 
 
 def of_domain(low: Column) -> Column:

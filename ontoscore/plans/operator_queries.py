@@ -426,22 +426,33 @@ def _once(ranked: F.Column) -> F.Column:
 
 
 def _document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """value and span of every different span of every whole text, but for stretches of words."""
+    """The different spans of every document's whole texts, but for stretches of words: an array of (span, value), the best value of each.
+
+    A document is one row, so its spans stay where it is read. Rows of one id are put together first; only if there are any do texts move.
+    """
     docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    spans = docs.select("doc_id", F.explode(evidence.ranked(F.col("text"), windows=False)).alias("s"))
-    return spans.groupBy("doc_id", F.col("s.span").alias("span")).agg((-F.min("s.value")).alias("value"))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.select("doc_id", F.array("text").alias("texts"))
+    else:
+        docs = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    every = F.flatten(F.transform("texts", lambda t: F.transform(evidence.ranked(t, windows=False), lambda s: F.struct(s["span"].alias("span"), (-s["value"]).alias("value")))))
+    first = lambda x: F.filter(x, lambda s, i: (i == 0) | (s["span"] != F.get(x, i - 1)["span"]))
+    # exploded as the only element: a filter on a plain column would be pushed down with a copy of the expression, and work it out twice
+    return docs.select("doc_id", F.explode(F.array(text.let(F.sort_array(every, asc=False), first))).alias("spans")).where(F.size("spans") > 0)
 
 
 @query("q_STR14", f"{_spans_sql('documents', 'doc_id', False)} SELECT doc_id, count(*) AS n, CAST(sum(length(span)) AS BIGINT) AS characters FROM r GROUP BY 1")
 def kept_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many spans of each document are neither generic nor too short, too long or without content."""
-    return _document_spans(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("span")).alias("characters"))
+    total = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + F.length(s["span"]))
+    return _document_spans(spark, sf_dir).select("doc_id", F.size("spans").cast("long").alias("n"), total.alias("characters"))
 
 
 @query("q_STR15", f"{_spans_sql('documents', 'doc_id', False)} SELECT doc_id, CAST(max(value) AS INTEGER) AS best, CAST(sum(value) AS BIGINT) AS total FROM r GROUP BY 1")
 def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document's spans are worth: by kind, terms of the domain and length."""
-    return _document_spans(spark, sf_dir).groupBy("doc_id").agg(F.max("value").cast("int").alias("best"), F.sum("value").cast("long").alias("total"))
+    values = F.transform("spans", lambda s: s["value"])
+    return _document_spans(spark, sf_dir).select("doc_id", F.array_max(values).alias("best"), F.aggregate(values, F.lit(0).cast("long"), lambda n, v: n + v).alias("total"))
 
 
 @query("q_STR17", f"""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM benchmark),
