@@ -136,7 +136,11 @@ def sentences(text: Column) -> Column:
 
 def clauses(text: Column) -> Column:
     """Parts of sentences between commas, dashes and the words that join clauses, trimmed, none empty."""
-    parts = F.flatten(F.transform(sentences(text), lambda s: F.split(s, CLAUSE_END)))
+    return clauses_of(sentences(text))
+
+
+def clauses_of(sentences_: Column) -> Column:
+    parts = F.flatten(F.transform(sentences_, lambda s: F.split(s, CLAUSE_END)))
     return F.filter(F.transform(parts, stripped), lambda x: x != "")
 
 
@@ -146,7 +150,12 @@ def quoted_phrases(text: Column) -> Column:
 
 def trimmed_span(span: Column) -> Column:
     """Without quotes around it, leading function words and trailing punctuation."""
-    plain = F.regexp_replace(stripped(span), "^[\"“”]+|[\"“”]+$", "")
+    return trimmed_again(stripped(span))
+
+
+def trimmed_again(span: Column) -> Column:
+    """As trimmed_span, of a span without white space at its ends."""
+    plain = F.regexp_replace(span, "^[\"“”]+|[\"“”]+$", "")
     return stripped(F.regexp_replace(without_lead(plain), TAIL, ""))
 
 
