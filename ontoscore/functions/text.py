@@ -15,12 +15,17 @@ from pyspark.sql.types import StringType
 #: A word: letters, digits and underscores, with apostrophes and hyphens inside.
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_’'-]*[\p{L}\p{N}_])?"
 # Groups are repeated with ++ and *+: Java runs these as loops, while + and * take a piece of the stack for each repetition.
+# Ends are cut off by trim functions: a pattern of a run and $ looks through a run inside a text once from each of its characters.
 ASCII_WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*+"
 # Patterns and word lists that spans of evidence follow.
 QUOTED = r"[\"“”]([^\"“”]{2,140})[\"“”]"
 SENTENCE_END = r"[.;:\n]+"
-CLAUSE_END = r"(?i)[.;:\n]+|,\s+|—|–|\s+(?:where|while|because|which|so that|rather than|whereby)\s+"
+CLAUSE_END = r"(?i)[—–]|,\s+|(?<!\s)\s++(?:where|while|because|which|so that|rather than|whereby)\s+"  # within sentences
 TAIL = r"[\s,;:.\-—–]+$"
+TAIL_CHARACTERS = "\t\n\x0b\f\r ,;:.-—–"
+QUOTES = "\"“”"
+#: White space of any kind: \s, \p{Z}, the separators of files to units, and the next line of C1.
+SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words that do not count as content.
 STOPWORDS = [
     "the", "a", "an", "and", "or", "but", "with", "from", "that", "this", "these", "those", "there", "where", "when", "while", "because", "rather",
@@ -80,7 +85,7 @@ def normalised(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def tag_block(text: Column, tag: str, least: int = 20) -> Column:
@@ -155,8 +160,13 @@ def trimmed_span(span: Column) -> Column:
 
 def trimmed_again(span: Column) -> Column:
     """As trimmed_span, of a span without white space at its ends."""
-    plain = F.regexp_replace(span, "^[\"“”]+|[\"“”]+$", "")
-    return stripped(F.regexp_replace(without_lead(plain), TAIL, ""))
+    return let(without_lead(F.btrim(span, F.lit(QUOTES))), lambda plain: stripped(without_tail(plain)))
+
+
+def without_tail(span: Column) -> Column:
+    """Without trailing punctuation; a line end of these kinds may follow it, as $ allows."""
+    ends = reduce(lambda a, b: a | b, [span.endswith(c) for c in "\x85\u2028\u2029"])
+    return F.when(ends, F.regexp_replace(span, TAIL, "")).otherwise(F.rtrim(span, F.lit(TAIL_CHARACTERS)))
 
 
 def without_lead(span: Column) -> Column:

@@ -435,10 +435,8 @@ def _document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = docs.select("doc_id", F.array("text").alias("texts"))
     else:
         docs = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
-    every = F.flatten(F.transform("texts", lambda t: F.transform(evidence.ranked(t, windows=False), lambda s: F.struct(s["span"].alias("span"), (-s["value"]).alias("value")))))
-    first = lambda x: F.filter(x, lambda s, i: (i == 0) | (s["span"] != F.get(x, i - 1)["span"]))
     # exploded as the only element: a filter on a plain column would be pushed down with a copy of the expression, and work it out twice
-    return docs.select("doc_id", F.explode(F.array(text.let(F.sort_array(every, asc=False), first))).alias("spans")).where(F.size("spans") > 0)
+    return docs.select("doc_id", F.explode(F.array(evidence.best(F.col("texts")))).alias("spans")).where(F.size("spans") > 0)
 
 
 @query("q_STR14", f"{_spans_sql('documents', 'doc_id', False)} SELECT doc_id, count(*) AS n, CAST(sum(length(span)) AS BIGINT) AS characters FROM r GROUP BY 1")

@@ -1,5 +1,8 @@
 """Spans of texts with very long runs of function words or of joined words, and of documents in several rows."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +21,30 @@ def test_long_runs_do_not_fill_the_stack(spark):
     assert [tuple(r) for r in got] == [(10, 200_002), (400_000, 1)]  # "a" leads and is cut off
 
 
+def test_long_runs_inside_a_text_take_linear_time(spark, tmp_path):
+    runs = [f"Wages fall{c * 400_000}quickly" for c in (" ", "\u00a0", "-", ",")] + [f"Wages fall,{' ' * 400_000}quickly while rents rise"]
+    sf = documents(spark, tmp_path, list(enumerate(runs)))
+    began = time.monotonic()
+    assert [tuple(r) for r in operator_queries.valued(spark, sf).collect()] == [(4, 2900, 5800)]  # of the last: "Wages fall", "rents rise"
+    assert time.monotonic() - began < 40
+
+
+def test_ends_are_cut_off_as_by_patterns(spark):
+    spaces, ends = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", ["", " ", ",", "\u2028", "\x85", "”", "\x1f", "\u3000", "—", "\n"]
+    texts = [f"{c}{a}rents, rise—high{a}{b}{c}" for a in ends for b in ends for c in ends]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.stripped(F.col("t")), tx.trimmed_span(F.col("t")))
+    rows = [tuple(r)[1:] for r in sorted(table.collect())]
+
+    def strip(t):
+        return re.sub(rf"^{spaces}|{spaces}\Z", "", t)
+
+    def trimmed(t):
+        t = re.sub("^[\"“”]+|[\"“”]+\\Z", "", strip(t))
+        return strip(re.sub(r"(?a)[\s,;:.\-—–]+(?=[\x85\u2028\u2029]?\Z)", "", t))
+
+    assert rows == [(strip(t), trimmed(t)) for t in texts]
+
+
 ONE, TWO = "Wages fall quickly", "landlords own houses"
 
 
